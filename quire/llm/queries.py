@@ -6,6 +6,7 @@ import importlib
 
 #: query -> (module, name of the query's function, name of its SQL or None)
 _TABLE = {
+    "op2_minhash_dedup": ("dedup", None),
     "op3_mixing": ("mixing", "ORACLE"),
     "op5_sharding": ("sharding", None),
     "op6_quality_rules": ("quality_rules", "ORACLE"),
