@@ -12,6 +12,7 @@ _TABLE = {
     "op5_sharding": ("sharding", None),
     "op6_quality_rules": ("quality_rules", "ORACLE"),
     "op7_token_counts": ("bpe", None),
+    "op9_media_avi": ("media", None),
 }
 
 
