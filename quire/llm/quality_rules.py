@@ -127,7 +127,9 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that pass, with their own columns only."""
     keep = docs.columns
     own = apply_rules(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    return own.where("kept").select(*[F.col("_row")[c].alias(c) for c in keep])
+    # without a column that isn't deterministic the filter would be pushed below the projections and each measure written out many times over
+    own = own.withColumn("_place", F.monotonically_increasing_id()).where("kept AND _place >= 0")
+    return own.select(*[F.col("_row")[c].alias(c) for c in keep])
 
 
 ORACLE = r"""
