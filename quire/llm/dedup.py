@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_docs: int = B
     member = member.join(reps.select("doc_id", "n_shingles").distinct(), "doc_id")
     load = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     member = cut(member.join(load, "cluster").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")), "member")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member, "doc_id").mapInArrow(_with_sets, "doc_id long, cluster long, blocks int, block int, set binary")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), "doc_id").mapInArrow(_with_sets, "doc_id long, cluster long, blocks int, block int, set binary")
     # block i meets every block j: as side 0 where i <= j, else as side 1; the pair's number is min * blocks + max
     dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "cluster", "doc_id", "set", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side")
@@ -311,7 +311,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id; of repeated rows of an id, one. Rows without an id stay."""
-    kept = cut(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    often = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(often).union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = cut(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
+    # one shuffle of the documents serves the join and the choice among repeated rows; planned alike at every size
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.union(docs.where("doc_id IS NULL")).select(*docs.columns)
