@@ -66,6 +66,8 @@ def reachable(docs: DataFrame, files: DataFrame, doc: str = "doc_id", depth: int
 
     Breadth first, one join a level, until no document reaches anything new.
     """
+    if doc in ("path", "content", "base_dir", "depth", "child"):
+        raise ValueError(f"documents need a key of another name than {doc}")
     front = docs.select(doc, F.col("content"), F.col("base_dir"))
     found: DataFrame | None = None
     for level in range(1, depth + 1):
