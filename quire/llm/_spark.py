@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +80,23 @@ def numbered(df: DataFrame, group: list[str], order: list, out: str, slice_rows:
     before = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*group).orderBy("_slice")) - F.col("_c")).drop("_c")
     rank = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order)) - 1
     return dealt.join(before, [*group, "_slice"]).withColumn(out, (F.col("_before") + rank).cast("long")).drop("_k", "_slice", "_before")
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that gives its memory back when a partition is done.
+
+    Python workers wait for later stages with all that their allocators keep;
+    several of them share an executor's memory with its JVM.
+    """
+
+    def lean_run(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return lean_run

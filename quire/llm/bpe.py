@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import table
+from quire.llm._spark import lean, table
 
 LIMIT = 4096
 SPACE = "▁"
@@ -172,7 +172,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(own.counts(part.column("text").to_pylist()), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    counted = sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = sized.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import table
+from quire.llm._spark import lean, table
 from quire.llm.langid import held_out
 
 WORDS = 1 << 14
@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     extra = rows.where(place < bar).orderBy(place, "doc_id").limit(2 * pool)
     found = {}
     for part in (rows.join(ids, "doc_id", "left_semi"), extra):
-        for r in part.mapInArrow(_views, _SAMPLE).collect():
+        for r in part.mapInArrow(lean(_views), _SAMPLE).collect():
             found.setdefault(r["doc_id"], ((np.array(r["ti"], dtype=np.int64), np.array(r["tv"])), (np.array(r["mi"], dtype=np.int64), np.array(r["mv"]))))
     order = sorted(found)
     return co_train([found[i][0] for i in order], [found[i][1] for i in order], [chosen.get(i) for i in order], [zlib.crc32(f"fold{i}".encode()) % 4 for i in order])
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.where(blank, 0.0, f)) for f in found)], names=["doc_id", "score", "text_score", "meta_score"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return own.mapInArrow(run, "doc_id long, score double, text_score double, meta_score double").withColumn("kept", F.col("score") >= keep_from)
+    return own.mapInArrow(lean(run), "doc_id long, score double, text_score double, meta_score double").withColumn("kept", F.col("score") >= keep_from)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,4 +253,4 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             keep = (model.score(text_view(texts), meta)[0] >= KEEP_FROM) & ~blank if texts else np.zeros(0, dtype=bool)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

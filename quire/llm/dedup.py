@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import cut, drop_cut, table
+from quire.llm._spark import cut, drop_cut, lean, table
 
 U = np.uint64
 SHINGLE = 5
@@ -257,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
     A per-partition forest shrinks the edges first and between the rounds. Each
     round's table is written to the shared folder and the one before it removed.
     """
-    now = cut(edges.mapInArrow(_forest_rows, "a long, b long").distinct(), "cc")
+    now = cut(edges.mapInArrow(lean(_forest_rows), "a long, b long").distinct(), "cc")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_docs: int = B
     other columns are ignored; an empty table gives an empty table. A null id has
     no component but its own null and is kept.
     """
-    sigs = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, keys array<long>"), "sig")
+    sigs = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_signatures), "doc_id long, n_shingles long, print binary, keys array<long>"), "sig")
     reps = cut(sigs.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r")).select("print", "r.*"), "rep")
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
@@ -292,13 +292,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_docs: int = B
     member = member.join(reps.select("doc_id", "n_shingles").distinct(), "doc_id")
     load = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
     member = cut(member.join(load, "cluster").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")), "member")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), "doc_id").mapInArrow(_with_sets, "doc_id long, cluster long, blocks int, block int, set binary")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), "doc_id").mapInArrow(lean(_with_sets), "doc_id long, cluster long, blocks int, block int, set binary")
     # block i meets every block j: as side 0 where i <= j, else as side 1; the pair's number is min * blocks + max
     dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
         "cluster", "doc_id", "set", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     met = dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
-    links = met.mapInArrow(_confirmed(percent), "a long, b long")
+    links = met.mapInArrow(lean(_confirmed(percent)), "a long, b long")
     roots = components(links)
     out = sigs.select("doc_id", "n_shingles", "print").join(reps.select("print", F.col("doc_id").alias("rep")), "print", "left")
     out = out.join(roots, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))

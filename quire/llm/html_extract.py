@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._spark import table
+from quire.llm._spark import lean, table
 
 #: A path is judged from this many pages on; weight of the styles' own entropy; bar of importance.
 MIN_PAGES, GAMMA, BAR = 5, 0.9, 0.2
@@ -280,7 +280,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages(host, html) -> host, path, pages, importance."""
-    rows = pages.where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInArrow(_tree_rows, "host string, path string, kind int, value long")
+    rows = pages.where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInArrow(lean(_tree_rows), "host string, path string, kind int, value long")
     counts = rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     per = counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),
@@ -313,7 +313,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 texts.append(extract(source, sets.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import table
+from quire.llm._spark import lean, table
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 120
@@ -272,7 +272,7 @@ def identify(docs: DataFrame, model: Crf | None, spans: bool = False) -> DataFra
                     arrays.append(pa.array([[{"start": x, "end": y, "lang": z} for x, y, z in d] for d in cols[4]], shape))
                 yield pa.RecordBatch.from_arrays(arrays, names=names + ["words"] * spans)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, spec + ", words array<struct<start:long,end:long,lang:string>>" * spans)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), spec + ", words array<struct<start:long,end:long,lang:string>>" * spans)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

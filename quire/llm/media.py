@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._spark import table
+from quire.llm._spark import lean, table
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -360,7 +360,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "clip", "start_ms", "end_ms", "frames", "motion"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, clip int, start_ms long, end_ms long, frames long, motion long")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(lean(run), "doc_id long, clip int, start_ms long, end_ms long, frames long, motion long")
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def store(docs: DataFrame) -> DataFrame:
             for a, b in _batches(data):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(encode(data[a:b]), pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, media binary")
 
 
 _SPEC = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -404,7 +404,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SPEC.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SPEC)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _SPEC)
 
 
 def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe
-from quire.llm._spark import cut, numbered, table
+from quire.llm._spark import cut, lean, numbered, table
 
 ROOM = 1024
 END_ID = 2
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> Dat
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     spec = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenised(path, room), spec), "pieces")
+    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_tokenised(path, room)), spec), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, _ = plan(histogram, room)
     # the slots of a length, one after the other: piece number r of length n is in the slot whose running count it falls in
@@ -291,7 +291,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> Dat
             yield pa.RecordBatch.from_arrays([*own.values(), pa.array(table_[slot, 1] + where - before[slot]), pa.array(table_[slot, 3])], names=[*own, "sequence_id", "offset"])
 
     ranked = numbered(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, spec + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(place), spec + ", sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
