@@ -64,7 +64,7 @@ def token_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray | None =
         body, at = cps[starts[0] :], starts - starts[0]
     else:
         keep = np.zeros(len(cps) + 1, dtype=np.int32)
-        np.add.at(keep, starts, 1) if False else keep.__setitem__(starts, 1)
+        keep[starts] = 1
         keep[ends] -= 1
         inside = np.cumsum(keep[:-1]).astype(bool)
         body, at = cps[inside], np.r_[0, np.cumsum(lens)[:-1]]

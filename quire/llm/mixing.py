@@ -160,8 +160,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = mix(sized).groupBy("doc_id").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
     # equal rows share one key: each of them is repeated for its share of what the key takes
     times = times.select(F.col("doc_id").alias("_key"), F.when(F.col("_size") == 0, 0).otherwise(F.floor(F.col("_taken") / (F.col("_size") * F.col("_rows")) + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    own = docs.withColumn("_key", F.xxhash64(*[F.col(c).cast("string") for c in keep]))
-    return own.join(times, "_key").select(*keep, F.explode(F.expr("sequence(1, _times)")).alias("_copy")).drop("_copy")
+    own = docs.select(F.struct(*keep).alias("_row"), F.xxhash64(*[F.col(c).cast("string") for c in keep]).alias("_key"))
+    return own.join(times, "_key").select(F.explode(F.expr("array_repeat(_row, _times)")).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in keep])
 
 
 ORACLE = r"""
