@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from quire.kernel.text import trim
+
 
 class Node:
     """A block or an inline: its kind, what it holds, and named attributes.
@@ -24,6 +26,8 @@ class Node:
         return self.attrs.get(name)
 
 
+#: All spaces are one node; nothing is ever noted on it.
+SPACE = Node("space")
 SPACE_KINDS = ("space", "line_break")
 #: Inlines that only wrap others.
 WRAPPERS = frozenset("emph strong strikeout underline superscript subscript smallcaps span quoted link image".split())
@@ -68,8 +72,6 @@ def parts(block: Node) -> Iterator[tuple[str, list[Node]]]:
 
 def plain(inlines: list[Node]) -> str:
     """The text alone, as it titles a label."""
-    from quire.kernel.text import trim
-
     out = []
     for x in inlines:
         if x.kind in SPACE_KINDS:

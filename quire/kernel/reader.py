@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date
 
 from quire.kernel import bibtex, scanner, tables, text
-from quire.kernel.nodes import Node, plain, text_node, trimmed
+from quire.kernel.nodes import SPACE, Node, plain, text_node, trimmed
 from quire.kernel.scanner import END, Token, written
 
 #: Expansions of macros and environments in a document; what comes beyond stays as it is written.
@@ -193,7 +193,7 @@ class Reader:
             while self.stack:
                 if self.at("par_break"):
                     self.step()
-                    out.append(Node("space"))
+                    out.append(SPACE)
                 elif (node := self.inline()) is not None:
                     out.append(node)
         finally:
@@ -291,13 +291,23 @@ class Reader:
         return Node("section", kids=inlines, level=level, label=label, number=number)
 
     def paragraph(self) -> Node | None:
-        out = []
-        while self.stack and self.now[0] not in _PARAGRAPH_ENDS:
-            if self.at("command", "par"):
-                self.step()
+        out: list[Node] = []
+        add, stack = out.append, self.stack
+        while stack:
+            kind, value, _ = stack[-1]
+            if kind == "text":
+                stack.pop()
+                add(Node("text", value))
+            elif kind == "whitespace" or kind == "newline":
+                stack.pop()
+                add(SPACE)
+            elif kind in _PARAGRAPH_ENDS:
                 break
-            if (node := self.inline()) is not None:
-                out.append(node)
+            elif kind == "command" and value == "par":
+                stack.pop()
+                break
+            elif (node := self.inline()) is not None:
+                add(node)
         return Node("paragraph", kids=out) if out else None
 
     def environment(self, env: str) -> Node | None:
@@ -610,7 +620,7 @@ class Reader:
             elif self.at("par_break"):
                 self.step()
                 if entries and entries[-1][1]:
-                    entries[-1][1].append(Node("space"))
+                    entries[-1][1].append(SPACE)
             elif (node := self.inline()) is not None and entries:
                 entries[-1][1].append(node)
         if not entries:
@@ -791,7 +801,7 @@ class Reader:
             case "text":
                 return text_node(value)
             case "whitespace" | "newline":
-                return Node("space")
+                return SPACE
             case "command":
                 return self.inline_command(value)
             case "inline_math":
@@ -885,7 +895,7 @@ class Reader:
             case "and" | "And" | "AND":
                 return text_node(", ")
             case "par":
-                return Node("space")
+                return SPACE
             case "today":
                 return text_node(text.long_date(self.settings.today or date.today()))
         handler = self.settings.commands.get(name) or _HANDED.get(name)
@@ -1058,7 +1068,3 @@ def _math_arguments(macro: Macro, formula: str, at: int) -> tuple[list[str], int
             at += 1
         out.append(formula[start : at if depth else at - 1])
     return out, at
-
-
-def events_of(events: list[dict], kind: str) -> Iterator[dict]:
-    return (e for e in events if e["event"] == kind)

@@ -28,8 +28,19 @@ class _Flow:
             self.last = s[-1]
 
     def inlines(self, nodes: list[Node]) -> _Flow:
+        add = self.out.append
         for node in nodes:
-            self.inline(node)
+            kind = node.kind
+            if kind == "text":
+                if s := node.text:
+                    add(s if s.isalnum() else text.escape(s, self.in_table))
+                    self.last = s[-1]
+            elif kind == "space":
+                if self.last not in ("", " ", "\n"):
+                    add(" ")
+                    self.last = " "
+            else:
+                self.inline(node)
         return self
 
     def around(self, opening: str, nodes: list[Node], closing: str) -> None:
@@ -39,12 +50,7 @@ class _Flow:
 
     def inline(self, node: Node) -> None:
         kind, s = node.kind, node.text
-        if kind == "text":
-            self.add(text.escape(s, self.in_table))
-        elif kind == "space":
-            if self.last not in ("", " ", "\n"):
-                self.add(" ")
-        elif kind in _AROUND:
+        if kind in _AROUND:
             opening, closing = _AROUND[kind]
             self.around(opening, node.kids, closing)
         elif kind == "line_break":

@@ -30,9 +30,8 @@ PLAIN = {
     "eof": "",
 }
 _SINGLE = {"{": "left_brace", "}": "right_brace", "[": "left_bracket", "]": "right_bracket", "&": "ampersand", "~": "tilde"}
-_TEXT = re.compile(r"[^\\{}\[\]$%&~\n \t\r'`]+")
-_BLANKS = re.compile(r"[ \t\r]+")
-_NEWLINE = re.compile(r"\n[ \t\r]*(\n?)")
+#: What most of a source is: 1 text, 2 blanks, 3 a newline with 4 the one that makes it a paragraph's end.
+_PLAIN_RUN = re.compile(r"([^\\{}\[\]$%&~\n \t\r'`]+)|([ \t\r]+)|(\n)[ \t\r]*(\n?)")
 _COMMENT = re.compile(r"%((?:\\[\s\S]|[^\\\n])*\\?)")
 _AFTER_COMMENT = re.compile(r"\n(?![ \t\r]*(?:\n|\Z))")
 _UNTIL = {close: re.compile(rf"(?:\\[\s\S]|[^\\{re.escape(close)}])*\\?") for close in "}]$"}
@@ -186,24 +185,23 @@ def scan(src: str) -> list[Token]:
     command. Only an environment's name without closing brace is an error.
     """
     out: list[Token] = []
+    add, plain = out.append, _PLAIN_RUN.match
     at, size = 0, len(src)
     while at < size:
-        c = src[at]
-        if run := _TEXT.match(src, at):
-            text = run[0]
-            if "--" in text:
-                text = text.replace("---", "—").replace("--", "–")
-            out.append(("text", text, None))
-            at = run.end()
-        elif c == " " or c == "\t" or c == "\r":
-            run = _BLANKS.match(src, at)
-            out.append(("whitespace", run[0], None))
+        if run := plain(src, at):
             at = run.end()
-        elif c == "\n":
-            run = _NEWLINE.match(src, at)
-            out.append(("par_break" if run[1] else "newline", "", None))
-            at = run.end()
-        elif c == "\\":
+            text, blanks, newline, second = run.groups()
+            if text:
+                if "--" in text:
+                    text = text.replace("---", "—").replace("--", "–")
+                add(("text", text, None))
+            elif blanks:
+                add(("whitespace", blanks, None))
+            else:
+                add(("par_break" if second else "newline", "", None))
+            continue
+        c = src[at]
+        if c == "\\":
             token, at = _command(src, at + 1)
             if token:
                 out.append(token)
