@@ -66,6 +66,15 @@ RULES = (
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
+def _bound(value: Column) -> Column:
+    """The same value, but not deterministic in the optimiser's eyes.
+
+    It would otherwise push filters on a verdict below the projections and write
+    out each measure, with all arrays in it, once for every use.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)  # rand() >= 0 would be folded away
+
+
 def _measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the counts that the rules are made of.
 
@@ -78,12 +87,13 @@ def _measured(df: DataFrame, text: str = "text") -> DataFrame:
     e = F.expr
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
     df = df.withColumn("_t", trimmed)
-    df = df.withColumn("_w", F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", _SPLIT)))
-    df = df.withColumn("_l", F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    df = df.withColumn("_w", _bound(F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", _SPLIT))))
+    df = df.withColumn("_l", _bound(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
-    df = df.withColumn("_h", F.when(F.col("n_words") < 6, e("CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(1, size(_w) - 2), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2))) END")).otherwise(e("transform(sequence(1, size(_w) - 2), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2)))")))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), e("cast(array() AS array<struct<h:bigint,i:int>>)")).otherwise(e("sort_array(transform(_h, (x, i) -> named_struct('h', x, 'i', i)))")))
-    df = df.withColumn("_r", e("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND x.h = _s[greatest(k - 1, 0)].h) OR (k < size(_s) - 1 AND x.h = _s[least(k + 1, size(_s) - 1)].h)), x -> x.i))"))
+    windows = "transform(sequence(1, size(_w) - 2), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2)))"
+    df = df.withColumn("_h", _bound(e(f"CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE {windows} END")))
+    df = df.withColumn("_s", _bound(F.when(F.size(F.array_distinct("_h")) == F.size("_h"), e("cast(array() AS array<struct<h:bigint,i:int>>)")).otherwise(e("sort_array(transform(_h, (x, i) -> named_struct('h', x, 'i', i)))"))))
+    df = df.withColumn("_r", _bound(e("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND x.h = _s[greatest(k - 1, 0)].h) OR (k < size(_s) - 1 AND x.h = _s[least(k + 1, size(_s) - 1)].h)), x -> x.i))")))
     return (
         df.withColumn("n_repeat_words", e("CASE WHEN size(_r) = 0 THEN 0L ELSE aggregate(transform(_r, (x, k) -> CASE WHEN k = size(_r) - 1 THEN 3 ELSE least(3, _r[least(k + 1, size(_r) - 1)] - x) END), 0L, (a, x) -> a + x) END"))
         .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
@@ -113,7 +123,7 @@ def failed_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """df with measures, base_failed, kept and the names of failed rules."""
     base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return _measured(df, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumn("failed_rules", failed_rules(rules))
+    return _measured(df, text).withColumn("base_failed", base).withColumn("kept", _bound(~F.col("base_failed") & verdict(rules))).withColumn("failed_rules", failed_rules(rules))
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -127,8 +137,7 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that pass, with their own columns only."""
     keep = docs.columns
     own = apply_rules(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    # without a column that isn't deterministic the filter would be pushed below the projections and each measure written out many times over
-    own = own.withColumn("_place", F.monotonically_increasing_id()).where("kept AND _place >= 0")
+    own = own.where("kept")
     return own.select(*[F.col("_row")[c].alias(c) for c in keep])
 
 
