@@ -239,8 +239,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept; scored and filtered in one pass over their own rows."""
-    model = learn(docs, table(spark, sf_dir, "labels"))
+    """The documents that are kept; scored and filtered in one pass over their own rows.
+
+    The model is op10's, of the whole table: docs may have lost all labels of a class.
+    """
+    model = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     if model is None:
         return docs.where(F.length(F.trim("text")) > 0)
     at = {c: docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")}

@@ -37,6 +37,19 @@ def test_stages_take_effect_and_keep_columns(spark, sf_dir):
     assert max(lengths.values()) <= 1024
 
 
+def test_classifier_rejects_poor_documents_that_pass_the_rules(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    (_, rules), (_, classifier) = corpus_pipeline.STAGES[:2]
+    docs = documents(spark, sf_dir)
+    bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0")
+    noisy = docs.join(bad, "doc_id", "left_semi").withColumns({"doc_id": F.col("doc_id") + 10**9, "text": F.translate("text", "#*$%&|<>", "!!!!!!!!")})
+    passed = cut(rules(spark, docs.unionByName(noisy.select(docs.columns)), sf_dir), "test")
+    planted, others = passed.where(f"doc_id >= {10**9}").count(), passed.where(f"doc_id < {10**9}").count()
+    kept = [r["doc_id"] for r in classifier(spark, passed, sf_dir).select("doc_id").collect()]
+    assert planted and not any(i >= 10**9 for i in kept)
+    assert sum(i < 10**9 for i in kept) > 0.9 * others
+
+
 def test_run_puts_each_stage_behind_the_one_before(spark, sf_dir, monkeypatch):
     def adding(n):
         return lambda s, docs, d: docs.withColumn("n_chars", F.coalesce("n_chars", F.lit(0)) * 2 + n)
