@@ -4,8 +4,9 @@ The pages of a host are merged by element path. For every path the merged tree
 knows its presentation styles (sequences of child tags) and contents, each with
 the number of pages that show it. A path's importance joins the entropy of its
 styles with that of its contents, both relative to the number of pages: a branch
-that looks and reads the same on every page has none. Such branches are removed
-where a page doesn't itself say where its article is. Elements whose tag, role
+that looks and reads the same on every page has none. Such branches are removed,
+inside an element that a page names as its article too, but never that element
+itself; an article that would lose all its text that way keeps it. Elements whose tag, role
 or class says menu, header, footer, sidebar, notice, advert, form or comments are
 removed by that alone; entropy can't find those whose words change from page to
 page.
@@ -207,12 +208,20 @@ def articles(root: Node) -> list[Node]:
     return main or found
 
 
-def extract(source: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The article's blocks; `low` are the host's paths of low importance."""
-    if not source:
-        return ""
-    root = parse(source)
-    tops = articles(root)
+def path_to(node: Node) -> str:
+    """The path of an element from the page's root."""
+    line: list[Node] = []
+    while node.parent is not None:
+        line.append(node)
+        node = node.parent
+    path = ""
+    for n in reversed(line):
+        path = path_of(n, path)
+    return path
+
+
+def blocks_of(top: Node, inside: bool, low: frozenset[str]) -> list[str]:
+    """The blocks under an element without noise and low branches; `inside` says that a page names it as its article."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -222,37 +231,50 @@ def extract(source: str | None, low: frozenset[str] = frozenset()) -> str:
         if block:
             blocks.append(block)
 
-    for top in tops or [root]:
-        inside = bool(tops)
-        # None ends a block; paths only matter where the page names no article
-        stack: list[tuple[Node | str | None, str]] = [(None, ""), (top, "")]
-        while stack:
-            c, above = stack.pop()
-            if c is None:
-                flush()
-            elif isinstance(c, str):
-                parts.append(c)
-            elif c.tag in ("br", "wbr"):
-                parts.append(" " if c.tag == "br" else "")
-            else:
-                p = above
-                if c is not top:
-                    if named_noise(c, inside):
+    # None ends a block
+    stack: list[tuple[Node | str | None, str]] = [(None, ""), (top, path_to(top))]
+    while stack:
+        c, above = stack.pop()
+        if c is None:
+            flush()
+        elif isinstance(c, str):
+            parts.append(c)
+        elif c.tag in ("br", "wbr"):
+            parts.append(" " if c.tag == "br" else "")
+        else:
+            p = above
+            if c is not top:
+                if named_noise(c, inside):
+                    if c.tag in BLOCK:
+                        flush()
+                    else:
+                        parts.append(" ")
+                    continue
+                if low:
+                    p = path_of(c, above)
+                    if p in low:
                         if c.tag in BLOCK:
                             flush()
-                        else:
+                        elif text_of(c):
                             parts.append(" ")
                         continue
-                    if not inside:
-                        p = path_of(c, above)
-                        if p in low:
-                            flush()
-                            continue
-                if c.tag in BLOCK:
-                    flush()
-                    stack.append((None, ""))
-                stack.extend((k, p) for k in reversed(c.children))
-        flush()
+            if c.tag in BLOCK:
+                flush()
+                stack.append((None, ""))
+            stack.extend((k, p) for k in reversed(c.children))
+    flush()
+    return blocks
+
+
+def extract(source: str | None, low: frozenset[str] = frozenset()) -> str:
+    """The article's blocks; `low` are the host's paths of low importance."""
+    if not source:
+        return ""
+    root = parse(source)
+    tops = articles(root)
+    blocks: list[str] = []
+    for top in tops or [root]:
+        blocks += blocks_of(top, bool(tops), low) or (blocks_of(top, True, frozenset()) if tops and low else [])
     return "\n\n".join(blocks)
 
 

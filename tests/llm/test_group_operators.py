@@ -288,6 +288,15 @@ def test_branches_that_never_change_go(spark):
     assert weights["/html/body/div.frame"] < html_extract.BAR < weights["/html/body/div.x"]
 
 
+def test_branches_that_never_change_go_from_named_articles(spark):
+    page = lambda i: f"<html><body><div class='wrap'><article><p>Own text {i}<img src='{i}'>tail</p><div class='zone'><p>Read this on every page</p></div><p>More {i * 7}</p></article></div></body></html>"
+    same = "<html><body><main><p>All pages of this host say this</p></main></body></html>"
+    rows = [(i, f"https://h.org/{i}", page(i)) for i in range(12)] + [(100 + i, f"https://same.org/{i}", same) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Own text 3tail\n\nMore 21"
+    assert got[104] == "All pages of this host say this"
+
+
 def test_pages_of_the_table(spark, sf_dir):
     rows = html_extract.op8_html_extraction(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
