@@ -18,6 +18,7 @@ back to a page is its host's short list of paths of low importance.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -31,6 +32,10 @@ from quire.llm._spark import lean, table
 
 #: A path is judged from this many pages on; weight of the styles' own entropy; bar of importance.
 MIN_PAGES, GAMMA, BAR = 5, 0.9, 0.2
+#: Characters of a path that is written out.
+LONGEST = 240
+#: Contents are polynomials of their words' hashes in this base, modulo this prime.
+BASE, PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'>/]+)")
@@ -145,8 +150,10 @@ def named_noise(node: Node, in_article: bool) -> bool:
 
 
 def path_of(node: Node, above: str) -> str:
+    """Tags and first classes from the root on; a long path is its hash, so that deep pages don't cost the square of their depth."""
     cls = node.attrs.get("class", "").split()
-    return f"{above}/{node.tag}" + (f".{cls[0][:40]}" if cls else "")
+    path = f"{above}/{node.tag}" + (f".{cls[0]}" if cls else "")
+    return path if len(path) <= LONGEST else "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def style_of(node: Node) -> str:
@@ -174,19 +181,36 @@ def text_of(node: Node) -> str:
     return " ".join(" ".join(parts).split())
 
 
-def branches(root: Node, depth: int = 6) -> list[tuple[str, Node]]:
-    """Elements to a depth that covers a site's frame, with their paths."""
+def branches(root: Node) -> list[tuple[str, Node, int]]:
+    """All elements in page order with their paths and a hash of the words of text_of.
+
+    A page's words are hashed once; what an element holds is a run of them, whose
+    hash follows from those of the words before its start and its end.
+    """
     out: list[tuple[str, Node]] = []
-    stack: list[tuple[str, Node, int]] = [("", root, 0)]
+    first: list[int] = []
+    last: list[int] = []
+    before, power = [0], [1]
+    # an element's number when its end is reached; words of scripts and styles don't count
+    stack: list[tuple[Node | str | int, str, bool]] = [(c, "", root.tag not in ("script", "style")) for c in reversed(root.children)]
     while stack:
-        above, node, d = stack.pop()
-        for c in node.children:
-            if not isinstance(c, str):
-                p = path_of(c, above)
-                out.append((p, c))
-                if d + 1 < depth:
-                    stack.append((p, c, d + 1))
-    return out
+        c, above, shown = stack.pop()
+        if isinstance(c, int):
+            last[c] = len(before) - 1
+        elif isinstance(c, str):
+            if shown:
+                for w in c.split():
+                    before.append((before[-1] * BASE + _word(w)) % PRIME)
+                    power.append(power[-1] * BASE % PRIME)
+        else:
+            p = path_of(c, above)
+            out.append((p, c))
+            first.append(len(before) - 1)
+            last.append(0)
+            shown = shown and c.tag not in ("script", "style")
+            stack.append((len(out) - 1, "", False))
+            stack.extend((k, p, shown) for k in reversed(c.children))
+    return [(p, c, (before[z] - before[a] * power[z - a]) % PRIME) for (p, c), a, z in zip(out, first, last, strict=True)]
 
 
 def articles(root: Node) -> list[Node]:
@@ -282,17 +306,22 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@functools.lru_cache(1 << 16)
+def _word(w: str) -> int:
+    return _hash(w) % (PRIME - 1) + 1
+
+
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's paths with their styles and contents, once per page."""
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             merged: dict[str, list[list[str]]] = {}
-            for path, node in branches(parse(source)):
+            for path, node, content in branches(parse(source)):
                 if node.tag not in ("script", "style", "meta", "link", "title", "html", "body", "head"):
                     own = merged.setdefault(path, [[], []])
                     own[0].append(style_of(node))
-                    own[1].append(text_of(node))
+                    own[1].append(str(content))
             for path, (styles, contents) in merged.items():
                 for kind, value in ((0, "|".join(styles)), (1, "|".join(contents))):
                     for col, v in zip(rows, (host, path, kind, _hash(value)), strict=True):

@@ -297,6 +297,19 @@ def test_branches_that_never_change_go_from_named_articles(spark):
     assert got[104] == "All pages of this host say this"
 
 
+def test_deep_branches_are_judged(spark):
+    long = "c" * 60
+    page = lambda i: "<html><body><div id='root'>" + "<div>" * 90 + f"<div class='{long}a'>Same here</div><div class='{long}b'>Own {i}</div><p>Text {i * 7}</p>"
+    pages = spark.createDataFrame([(i, f"https://h.org/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_pages(pages).collect()}[3] == "Own 3\n\nText 21"
+    tree = html_extract.parse("<div>a<b>b</b> c<i>a b</i><script>x</script></div><p>a b c</p><p>a<i>b c</i></p>" + "<div>" * 5000 + "deep")
+    found = html_extract.branches(tree)
+    assert len(found) == 5007 and max(len(p) for p, _, _ in found) <= html_extract.LONGEST
+    for _, x, hx in found[:8]:
+        for _, y, hy in found[:8]:
+            assert (hx == hy) == (html_extract.text_of(x) == html_extract.text_of(y))
+
+
 def test_pages_of_the_table(spark, sf_dir):
     rows = html_extract.op8_html_extraction(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
