@@ -1,6 +1,8 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's features are its affixes, inner character n-grams and membership in
+A word is a run of letters; one of more than `PIECE` letters is as many steps of
+the chain as it has pieces of like length, so all of its letters count, and each
+piece counts as a word. A word's features are its affixes, inner character n-grams and membership in
 each language's lexicon of frequent words; transitions between the labels of
 neighbouring words are learned with them. Training chains are made of spans of
 different documents, so the model sees text that switches language. A whole
@@ -35,6 +37,8 @@ MOST_BYTES = 262_144
 LEXICON = 300
 SPAN, SPANS, CHAINS, ROUNDS = 12, 4, 700, 40
 UNKNOWN = "und"
+#: A longer run of letters is a chain of pieces.
+PIECE = 40
 
 
 @functools.cache
@@ -53,7 +57,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case code points, starts and ends of the letter runs, and each text's first run (one more at the end)."""
+    """Lower-case code points, starts and ends of the letter runs or their pieces, and each text's first one (one more at the end)."""
     letter, low = _letters()
     cps, off = _text.codes(texts)
     is_word = letter[cps]
@@ -64,11 +68,18 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         return cps, none, none, np.zeros(len(off), dtype=np.int64)
     start = np.flatnonzero(is_word & (~np.r_[False, is_word[:-1]] | edge[:-1]))
     stop = np.flatnonzero(is_word & (~np.r_[is_word[1:], False] | edge[1:])) + 1
+    size = stop - start
+    pieces = -(-size // PIECE)
+    if (pieces > 1).any():
+        n = np.repeat(pieces, pieces)
+        k = np.arange(len(n)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin, size = np.repeat(start, pieces), np.repeat(size, pieces)
+        start, stop = begin + size * k // n, begin + size * (k + 1) // n
     return low[cps], start, stop, np.searchsorted(start, off)
 
 
 def features(word: str, lexicons: list[frozenset[str]]) -> list[int]:
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3, 4)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
     names += [f"g{w[i : i + n]}" for n in (2, 3) for i in range(len(w) - n + 1)]
     names += [f"l{k}" for k, lex in enumerate(lexicons) if word in lex] + ["b"]

@@ -67,6 +67,16 @@ def test_code_switched_words_get_their_own_labels(spark, sf_dir):
     assert labels[:15].count(model.languages[0]) > 11 and labels[-15:].count(model.languages[1]) > 11
 
 
+def test_all_letters_of_a_long_run_count(spark, sf_dir):
+    docs = documents(spark, sf_dir).where("lang IS NOT NULL AND text IS NOT NULL")
+    model = langid.learn(docs)
+    one, other = ("".join(c for r in docs.where(F.col("lang") == x).orderBy("doc_id").limit(20).collect() for c in r["text"] if c.isalpha())[:4000] for x in model.languages[:2])
+    labeller = langid.Labeller(model)
+    assert labeller.label([one[:60] + other])[0][0] == model.languages[1] and labeller.label([other[:60] + one])[0][0] == model.languages[0]
+    _, start, stop, first = langid.words(["ab " + "x" * 40, "y" * 101 + " z"])
+    assert (stop - start).tolist() == [2, 40, 33, 34, 34, 1] and first.tolist() == [0, 2, 6]
+
+
 def test_language_edges(spark):
     docs = edge(spark)
     rows = langid.identify(docs, langid.learn(docs)).collect()
