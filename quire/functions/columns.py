@@ -88,10 +88,11 @@ def heading_prefix(level: Column | str) -> Column:
 
 
 def human_bytes(n: Column | str) -> Column:
-    """B, KB or MB at powers of 1024; halves go to the even digit."""
+    """B, KB or MB at powers of 1024; halves go to the even digit; null stays null."""
     n = _col(n).cast("long")
     return (
-        F.when(n < 1024, F.format_string("%d B", n))
+        F.when(n.isNull(), F.lit(None))
+        .when(n < 1024, F.format_string("%d B", n))
         .when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / 1024.0, 1)))
         .otherwise(F.format_string("%.1f MB", F.bround(n / (1024.0 * 1024.0), 1)))
     )

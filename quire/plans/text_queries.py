@@ -329,6 +329,15 @@ def sizes_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", C.human_bytes("n_chars").alias("size"), C.output_name(tex("in/", F.col("source"), ".tex")).alias("name"))
 
 
+@query(r"""
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0) WHEN n_chars IS NOT NULL THEN format('{:.1f} MB', n_chars / 1048576.0) END AS size,
+  source || '.md' AS name FROM documents
+""")
+def sizes_and_names_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: long ones too, and null for a size or name that isn't known."""
+    return table(spark, sf_dir, "documents").select("doc_id", C.human_bytes("n_chars").alias("size"), C.output_name(tex("in/", F.col("source"), ".tex")).alias("name"))
+
+
 @query(r"SELECT o_orderkey, strftime(o_orderdate, '%B %d, %Y') AS shown FROM orders")
 def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", C.long_date("o_orderdate").alias("shown"))
