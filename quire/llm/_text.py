@@ -131,10 +131,13 @@ class Memo:
     def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], limit: int = 1_500_000) -> None:
         self.learn, self.forget, self.limit, self.index = learn, forget, limit, HashIndex()
 
+    def clear(self) -> None:
+        self.index = HashIndex()
+        self.forget()
+
     def numbers(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
         if self.index.n > self.limit:
-            self.index = HashIndex()
-            self.forget()
+            self.clear()
         h = token_hashes(cps, starts, ends)
         found = self.index.find(h)
         miss = np.flatnonzero(found < 0)

@@ -13,7 +13,6 @@ are array look-ups.
 
 from __future__ import annotations
 
-import base64
 import functools
 import heapq
 import struct
@@ -184,6 +183,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Character classes of the byte-level pre-tokeniser.
 LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
+#: A worker remembers about so many distinct cuts, and so many of their ids, before it begins anew.
+CUTS, CUT_IDS = 300_000, 2_000_000
+#: Characters of one array step.
+CHARS = 1 << 18
 
 
 @functools.cache
@@ -214,28 +217,20 @@ class ByteIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # the model sees each byte as a character: printable Latin-1 as it is, the others from U+0100 on in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.shown = {b: 256 + k for k, b in enumerate(others)}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.single = None
-        ranked = path.rsplit(".", 1)[0] + ".tiktoken"
-        try:
-            import tiktoken
-
-            with open(ranked, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.single = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        except (OSError, ImportError, AttributeError):
-            pass
         self._forget()
-        self.memo = _text.Memo(self._learn, self._forget, 800_000)
+        self.memo = _text.Memo(self._learn, self._forget, CUTS)
 
     def _forget(self) -> None:
-        self.ids, self.at, self.lens, self.n, self.used = np.zeros(1 << 18, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0, 0
+        self.ids, self.at, self.lens, self.n, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0, 0
 
     def _learn(self, tokens: list[str]) -> None:
-        if self.single:
-            found = [self.single(t.encode()) for t in tokens]
-        else:
-            found = [e.ids for e in self.library.encode_batch(tokens, add_special_tokens=False)]
+        cut, shown = self.library.model.tokenize, self.shown
+        found = [[t.id for t in cut(token.encode().decode("latin-1").translate(shown))] for token in tokens]
         lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(lens.sum()))
         if self.n + len(found) > len(self.at):
@@ -249,13 +244,17 @@ class ByteIds:
         self.n += len(found)
         self.used += len(flat)
 
+    def _bounded(self) -> None:
+        if self.used > CUT_IDS:
+            self.memo.clear()
+
     def _odd(self, text: str) -> bool:
         return "'" in text or any(s in text for s in self.special)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         empty = np.zeros(0, dtype=np.uint32)
-        for a, b in _text.groups(texts):
+        for a, b in _text.groups(texts, CHARS):
             own = texts[a:b]
             cps, off = _text.codes(own)
             high = _text.segment_sums((cps >= 0x250).astype(np.int64), off) if len(cps) else np.zeros(b - a, dtype=np.int64)
@@ -264,6 +263,7 @@ class ByteIds:
                 cps, off = _text.codes([None if s else t for s, t in zip(slow, own, strict=True)])
             if len(cps):
                 at = self._starts(cps, off)
+                self._bounded()
                 num = self.memo.numbers(cps, at)
                 lens = self.lens[num]
                 ids = self.ids[_text.ragged(self.at[num], lens)]

@@ -2,13 +2,17 @@
 
 1. Texts become pieces of at most 1024 tokens; only (length, count) pairs, at
    most 1024 of them, come to the driver.
-2. Large lengths stand in groups of equal cardinality, each rounded up to its
-   largest, so few sizes remain. A linear programme over configurations (sets of
-   sizes that fit one sequence) is solved by column generation with a knapsack.
-3. Whole configurations are laid out and actual lengths take the rounded slots,
-   longest first. What is left is placed by best fit, longest first, then the
-   small lengths fill the room that remains.
-4. The plan is a list of runs of equal sequences. A piece finds its place by its
+2. Large lengths, those of which a sequence holds two at most, stand in groups of
+   equal cardinality, each rounded up to its longest, so few sizes remain. A
+   linear programme over configurations (sets of sizes that fit one sequence) is
+   solved by column generation with a knapsack.
+3. Whole configurations are laid out and actual lengths take the rounded slots. A
+   slot takes the longest length left that keeps the later slots' room, so the
+   room that rounding cost is handed on. What no whole configuration holds is
+   grouped anew, more finely as less is left, and solved again.
+4. When no configuration is whole any more, the rest and the small lengths are
+   placed by best fit, longest first, in the room that remains.
+5. The plan is a list of runs of equal sequences. A piece finds its place by its
    length and its number among the pieces of that length.
 
 Room is counted, not searched: the plan's size depends on the number of
@@ -32,9 +36,9 @@ from quire.llm._spark import cut, lean, numbered, table
 
 ROOM = 1024
 END_ID = 2
-GROUPS = 48
-#: Lengths of at least this many tokens are large: at most 8 to a sequence.
-LARGE = 114
+GROUPS = 128
+#: Lengths of at least this many tokens are large: more than a third of the room.
+LARGE = 342
 
 
 def pieces_of(ids: np.ndarray, room: int = ROOM) -> list[tuple[int, np.ndarray]]:
@@ -46,13 +50,33 @@ def pieces_of(ids: np.ndarray, room: int = ROOM) -> list[tuple[int, np.ndarray]]
     return [(a, ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """matrix @ x without the threads of a BLAS library: in a driver that has forked they may wait for each other for ever."""
+    return (matrix * x).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps with row pivots, for the same reason."""
+    k = len(matrix)
+    work = np.concatenate([matrix, np.eye(k)], axis=1)
+    for j in range(k):
+        p = j + int(np.abs(work[j:, j]).argmax())
+        if p != j:
+            work[[j, p]] = work[[p, j]]
+        work[j] /= work[j, j]
+        factor = work[:, j].copy()
+        factor[j] = 0
+        work -= np.outer(factor, work[j])
+    return work[:, k:]
+
+
 def _simplex(sizes: list[int], demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often to use each, by column generation on the covering programme."""
     k = len(sizes)
     size = np.array(sizes)
     basis = np.diag(room // size).astype(float)
-    inverse = np.linalg.inv(basis)
-    use = inverse @ demand
+    inverse = np.diag(1 / np.diag(basis))
+    use = _times(inverse, demand)
     for step in range(40 * k):
         price = np.maximum(inverse.sum(axis=0), 0)  # all costs are 1
         # unbounded knapsack: the best price for each room, one size after the other
@@ -79,9 +103,9 @@ def _simplex(sizes: list[int], demand: np.ndarray, room: int) -> list[tuple[np.n
                 continue
             column[i] += 1
             r -= sizes[i]
-        if column @ price <= 1 + 1e-7:
+        if (column * price).sum() <= 1 + 1e-7:
             break
-        move = inverse @ column
+        move = _times(inverse, column)
         ratio = np.where(move > 1e-9, use / np.where(move > 1e-9, move, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -94,8 +118,8 @@ def _simplex(sizes: list[int], demand: np.ndarray, room: int) -> list[tuple[np.n
         inverse[out] = pivot
         basis[:, out] = column
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ demand
+            inverse = _inverse(basis)
+            use = _times(inverse, demand)
     return [(basis[:, j].round().astype(int), float(use[j])) for j in range(k) if use[j] > 1e-9]
 
 
@@ -146,93 +170,70 @@ class Rooms:
             self.put(free - length * fit, first, n, items)
 
 
-def plan(histogram: dict[int, int], room: int = ROOM, groups: int = GROUPS, large: int = LARGE) -> tuple[list[tuple[int, int, int, int]], int]:
-    """The better of the grouped plan and of best fit on all lengths, longest first.
-
-    Rounding costs up to one group; where many small pieces fill every gap it
-    can cost more than configurations gain, so the plain plan is made as well.
-    """
-    grouped = grouped_plan(histogram, room, groups, large)
-    plain = Rooms(room)
-    for n in sorted(histogram, reverse=True):
-        plain.best_fit(n, histogram[n])
-    return grouped if grouped[1] < plain.made else (plain.slots(), plain.made)
+def grouped(left: dict[int, int], large: int, groups: int) -> tuple[list[int], np.ndarray]:
+    """The sizes that large lengths are rounded up to, longest first, and how many pieces each has."""
+    big = sorted((n for n in left if n >= large), reverse=True)
+    per = max(1, -(-sum(left[n] for n in big) // groups))
+    sizes: list[int] = []
+    demand: list[int] = []
+    seen = 0
+    for n in big:
+        count = left[n]
+        while count:
+            # a group begins with its longest; equal sizes are one
+            if seen % per == 0 and (not sizes or sizes[-1] != n):
+                sizes.append(n)
+                demand.append(0)
+            got = min(count, per - seen % per)
+            demand[-1] += got
+            seen, count = seen + got, count - got
+    return sizes, np.array(demand, dtype=float)
+
+
+def _lay_out(rooms: Rooms, left: dict[int, int], slots: list[int], times: int) -> int:
+    """Up to `times` sequences with these rounded slots, longest first; the number of pieces they took from `left`."""
+    lengths, taken = sorted(left), 0
+    while times > 0:
+        # a run of sequences with equal actual lengths lasts until one of them is used up
+        at, later, used, items = 0, sum(slots), {}, []
+        for slot in slots:
+            later -= slot
+            i = bisect.bisect_right(lengths, rooms.room - at - later) - 1
+            while i >= 0 and left[lengths[i]] <= used.get(lengths[i], 0):
+                i -= 1
+            if i >= 0:
+                n = lengths[i]
+                used[n] = used.get(n, 0) + 1
+                items.append((n, at))
+                at += n
+        if not items:
+            break
+        run = min(times, *(left[n] // k for n, k in used.items()))
+        for n, k in used.items():
+            left[n] -= run * k
+            taken += run * k
+            if not left[n]:
+                del left[n]
+                lengths.remove(n)
+        first, number, _ = rooms.new(run)
+        rooms.put(rooms.room - at, first, number, tuple(items))
+        times -= run
+    return taken
 
 
-def grouped_plan(histogram: dict[int, int], room: int = ROOM, groups: int = GROUPS, large: int = LARGE) -> tuple[list[tuple[int, int, int, int]], int]:
+def plan(histogram: dict[int, int], room: int = ROOM, groups: int = GROUPS, large: int = LARGE) -> tuple[list[tuple[int, int, int, int]], int]:
     """Slots (length, first sequence, number of sequences, offset) for all pieces, and the number of sequences."""
     rooms = Rooms(room)
     left = {n: c for n, c in histogram.items() if c > 0}
     if full := left.pop(room, 0):
-        first, n, _ = rooms.new(full)
-        rooms.put(0, first, n, ((room, 0),))
-    big = sorted((n for n in left if n >= large), reverse=True)
-    total = sum(left[n] for n in big)
-    if total > 1 and len(big) > 1:
-        # groups of equal cardinality over the descending lengths; a length can lie in two groups
-        per, sizes, members = -(-total // groups), [], []
-        fill = per
-        for n in big:
-            c = left[n]
-            while c:
-                if fill == per:
-                    sizes.append(n)
-                    members.append([])
-                    fill = 0
-                got = min(c, per - fill)
-                members[-1].append([n, got])
-                fill, c = fill + got, c - got
-        # equal rounded sizes are one size
-        size2, member2 = [], []
-        for s, m in zip(sizes, members, strict=True):
-            if size2 and size2[-1] == s:
-                member2[-1] += m
-            else:
-                size2.append(s)
-                member2.append(list(m))
-        demand = np.array([sum(c for _, c in m) for m in member2], dtype=float)
-        chosen = sorted(_simplex(size2, demand, room), key=lambda x: (-x[1], tuple(x[0])))
-        for config, use in chosen:
-            times = int(use + 1e-9)
-            need = [(g, int(q)) for g, q in enumerate(config) for _ in range(int(q))]
-            slots = [g for g, _ in need]
-            while times > 0 and slots:
-                # a run of sequences with equal actual lengths: as long as every slot's present length lasts
-                heads, used = [], {}
-                for g in slots:
-                    m = member2[g]
-                    i, have = used.get(g, (0, 0))
-                    while i < len(m) and m[i][1] - have <= 0:
-                        i, have = i + 1, 0
-                    if i == len(m):
-                        heads = []
-                        break
-                    heads.append((g, i))
-                    used[g] = (i, have + 1)
-                if not heads:
-                    break
-                times_of: dict[tuple[int, int], int] = {}
-                for h in heads:
-                    times_of[h] = times_of.get(h, 0) + 1
-                run = min([times, *(member2[g][i][1] // k for (g, i), k in times_of.items())])
-                items, at = [], 0
-                for g, i in heads:
-                    items.append((member2[g][i][0], at))
-                    at += member2[g][i][0]
-                for (g, i), k in times_of.items():
-                    member2[g][i][1] -= run * k
-                first, n, _ = rooms.new(run)
-                rooms.put(room - at, first, n, tuple(items))
-                for g in set(slots):
-                    member2[g] = [x for x in member2[g] if x[1]]
-                times -= run
-        rest: dict[int, int] = {}
-        for m in member2:
-            for n, c in m:
-                rest[n] = rest.get(n, 0) + c
-        for n in big:
-            left.pop(n)
-        left |= {n: c for n, c in rest.items() if c}
+        first, number, _ = rooms.new(full)
+        rooms.put(0, first, number, ((room, 0),))
+    taken = 1
+    while taken:
+        taken = 0
+        sizes, demand = grouped(left, large, groups)
+        for config, use in sorted(_simplex(sizes, demand, room), key=lambda x: (-x[1], tuple(x[0]))) if sizes else ():
+            taken += _lay_out(rooms, left, [s for s, q in zip(sizes, config, strict=True) for _ in range(int(q))], int(use + 1e-9))
     for n in sorted(left, reverse=True):
         rooms.best_fit(n, left[n])
     return rooms.slots(), rooms.made
@@ -260,7 +261,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> Dat
 
     Defined results: a null or empty text is one piece of the end id alone;
     repeated rows are packed one by one; other columns are ignored; an empty
-    table gives an empty table.
+    table gives an empty table. A text of any length is tokenised whole by one
+    task, and becomes as many pieces as it needs. Pieces of equal length are
+    dealt to their slots by id, number and checksum; those that tie in all three
+    are alike.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     spec = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -229,6 +229,21 @@ def test_plans_place_every_piece_once(seed):
     assert -(-sum(n * c for n, c in histogram.items()) // 1024) <= made <= plain.made
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_grouped_plan_needs_no_more_than_best_fit_decreasing(spark, sf):
+    rows = packing.op4_best_fit_packing(spark, f"/root/testdata/{sf}").collect()
+    plain = packing.Rooms(1024)
+    for n, c in sorted(Counter(r["length"] for r in rows).items(), reverse=True):
+        plain.best_fit(n, c)
+    assert len({r["sequence_id"] for r in rows}) <= plain.made
+
+
+def test_large_lengths_stand_in_groups_of_like_number():
+    histogram = {n: 10 for n in range(400, 500)} | {5: 7}
+    sizes, demand = packing.grouped(histogram, 342, 20)
+    assert demand.sum() == 1000 and len(sizes) == 20 and set(demand) == {50.0} and sizes[0] == 499
+
+
 # sharding
 
 
