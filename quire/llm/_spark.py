@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,15 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as the session names it; without one there is no safe place for cuts."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="quire-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir() or named
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -82,6 +79,24 @@ def numbered(df: DataFrame, group: list[str], order: list, out: str, slice_rows:
     return dealt.join(before, [*group, "_slice"]).withColumn(out, (F.col("_before") + rank).cast("long")).drop("_k", "_slice", "_before")
 
 
+#: A key with more rows than this may be hot; at most so many keys are handed to all tasks.
+HOT_ROWS, HOT_KEYS = 512, 10_000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with found, which has one row for each key and in `n` the number of rows that have it.
+
+    Rows of hot keys meet what is found in a broadcast join and stay where they
+    are, so no task gathers a key. A key is hot above total / HOT_KEYS rows, where
+    total is the number of rows: HOT_KEYS keys at most. The others are joined as
+    they come. Both tables should be written ones, as each is read twice.
+    """
+    bar = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(found.where(F.col(n) > bar))
+    cold = rows.join(F.broadcast(found.where(F.col(n) > bar).select(key)), key, "left_anti").join(found.where(F.col(n) <= bar), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A mapInArrow function that gives its memory back when a partition is done.
 

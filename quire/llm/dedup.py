@@ -5,20 +5,21 @@
    its smallest hash. An empty bin borrows from a full bin that its own random
    order of bins names (optimal densification: uniform and independent donors).
 2. Equal sets fold into their smallest document before anything is paired.
-3. Bands of 7 bins are bucket keys. A bucket gives star-shaped edges: every
-   member to the bucket's smallest, so n members make n - 1 edges and not
-   n * (n - 1) / 2. At similarity 0.85 a pair misses all 36 bands with
+3. Bands of 7 bins are bucket keys. A bucket gives a star of candidate edges:
+   every member to the bucket's smallest, its hub, so n members make n - 1 edges
+   and not n * (n - 1) / 2. At similarity 0.85 a pair misses all 36 bands with
    probability (1 - 0.85^7)^36 < 1e-6.
-4. The star edges' connected components are candidate clusters: every pair that
-   shares a bucket is inside one. Each cluster's pairs are then confirmed on
-   full sets, in blocks of bounded size: a cluster of n blocks becomes
-   n * (n + 1) / 2 independent block pairs. A block pair only emits a spanning
-   forest of its confirmed links, and pairs that are already connected there, of
-   impossible sizes or with far too few equal bins are not intersected.
+4. Candidate edges are confirmed on full sets, and the components of the
+   confirmed links joined. A bucket is done when all that is left in it belongs
+   to one component. Otherwise members outside its largest component become new
+   hubs, are compared with the members of other components and leave the bucket:
+   one hub, then 4, 16, ...; in a small bucket all at once.
 5. Components of the confirmed links are the result.
 
-A hub in a star is not asked to be similar to its members, so no link between
-two members is lost when their hub is unlike either.
+No link between two members of a bucket is lost: they are compared when the
+first of them becomes a hub, or they are connected by then. Work in a bucket
+grows with its members times those hubs that link to nothing, not with the
+square of its members. A hub's members are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -32,16 +33,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import cut, drop_cut, lean, table
+from quire.llm._spark import cut, drop_cut, lean, looked_up, table
 
 U = np.uint64
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
 PERCENT = 85
-#: Pairs below this share of equal bins are not intersected: 0.85 less about 6 standard deviations.
-SCREEN = 0.70
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
+#: In buckets of so many members all outsiders become hubs at once; at most so many hubs of a larger one in a round.
+SMALL_BUCKET, MOST_HUBS = 32, 4096
+#: Members that one task compares with a hub, at least; a hub of n members is sent to n / max(this, sqrt(n)) tasks.
+STAR = 256
+#: Edges of which one task makes a forest.
+FOREST = 200_000
 
 _rng = np.random.default_rng(20240607)
 #: Each bin's own order of all bins, as ranks.
@@ -128,8 +132,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32))
             values = pa.array(np.concatenate([k for k in keys if k is not None]) if any(lens) else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
-                names=["doc_id", "n_shingles", "print", "keys"],
+                [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, values)],
+                names=["doc_id", "mark", "n_shingles", "print", "keys"],
             )
 
 
@@ -166,65 +170,30 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(ids: list[int], side: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Spanning forest of the confirmed links. side: 0 and 1; where both occur only pairs across are tried."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    ids, side, sets = [ids[i] for i in order], np.array([side[i] for i in order]), [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets])
-    screened = len(ids) > 8
-    sigs = np.array([(signature(s) & U(0xFFFF)).astype(np.uint16) for s in sets]) if screened else np.zeros((len(ids), 1), dtype=np.uint16)
-    across = side.min() != side.max()
-    near: list[tuple[float, int, int]] = []
-    for i in range(len(ids) - 1):
-        n, m = sizes[i], sizes[i + 1 :]
-        fit = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((side[i + 1 :] != side[i]) | (not across))
-        j = np.flatnonzero(fit) + i + 1
-        if len(j):
-            share = (sigs[j] == sigs[i]).mean(axis=1)
-            good = share >= SCREEN - (percent < PERCENT) * (PERCENT - percent) / 100
-            near += [(-s, i, k) for s, k in zip(share[good].tolist(), j[good].tolist(), strict=True)]
-    near.sort()
-    forest, out = Forest(len(ids)), []
-    for _, i, k in near:
-        if forest.root(i) != forest.root(k) and linked(sets[i], sets[k], percent):
-            forest.join(i, k)
-            out.append((ids[i], ids[k]))
-    return out
-
-
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by block pair; a block pair is done when the next begins."""
-        key, ids, side, sets = None, [], [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                links = confirm(ids, side, sets, percent)
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        """Rows arrive sorted by star: its hub's set, then its members' sets, one at a time."""
+        hub: np.ndarray | None = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "pair", "side", "doc_id", "set")]
-            for cluster, pair, s, doc, blob in zip(*cols, strict=True):
-                if (cluster, pair) != key:
-                    yield from done()
-                    key, ids, side, sets = (cluster, pair), [], [], []
-                ids.append(doc)
-                side.append(s)
-                sets.append(np.frombuffer(blob, dtype=U))
-        yield from done()
+            a, b = [], []
+            for at, member, star, side in zip(range(batch.num_rows), *(batch.column(c).to_pylist() for c in ("a", "b", "side")), strict=True):
+                own = np.frombuffer(batch.column("set")[at].as_buffer(), dtype=U)
+                if not side:
+                    hub = own.copy()
+                elif linked(hub, own, percent):
+                    a.append(member)
+                    b.append(star)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
             sets = shingle_hashes(part.column("text").to_pylist())
-            rest = [part.column(c) for c in ("doc_id", "cluster", "blocks", "block")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cluster", "blocks", "block", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"])
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,58 +219,129 @@ def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b); the root is the component's smallest node.
+    """(node, root) for every node of edges (a, b), a written table; the root is the component's smallest node.
 
-    Alternates large-star and small-star steps, which need O(log n) rounds for
-    any shape and only joins and minima: no neighbour list is ever gathered.
-    A per-partition forest shrinks the edges first and between the rounds. Each
-    round's table is written to the shared folder and the one before it removed.
+    Forests of `FOREST` edges each shrink the edges first. Then large-star and
+    small-star steps alternate, which need O(log n) rounds for any shape and only
+    joins and minima: no neighbour list is ever gathered, and rows of a node with
+    very many neighbours aren't sent to its task. Each round's table is written to
+    the shared folder and the one before it removed; the caller drops the last.
     """
-    now = cut(edges.mapInArrow(lean(_forest_rows), "a long, b long").distinct(), "cc")
+    tasks = max(1, -(-edges.count() // FOREST))
+    now = cut(edges.repartition(tasks).mapInArrow(lean(_forest_rows), "a long, b long").distinct(), "cc")
     while True:
+        # done when every edge is (node, root): no root has an edge of its own, and no node two
+        odd = now.select("a", F.lit(1).alias("edges"), F.lit(0).alias("hubs")).union(now.select("b", F.lit(0), F.lit(1)).distinct())
+        if odd.groupBy("a").agg(F.sum("edges").alias("e"), F.max("hubs").alias("h")).where("e > 1 OR (e = 1 AND h = 1)").isEmpty():
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._quire_path = now._quire_path
+            return out
+        total = now.count()
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = cut(looked_up(both, least, "u", "n", 2 * total).where("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        down = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "down")
+        small = looked_up(large, down, "a", "n", total)
         after = cut(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        # done when every edge is (node, root): no root is itself a node with an edge, and each node has one edge
-        odd = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        many = after.groupBy("a").count().where("count > 1").limit(1).count() if not odd else 1
-        drop_cut(now)
+        for old in (now, least, large, down):
+            drop_cut(old)
         now = after
-        if not odd and not many:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _fit(n, m, percent: int) -> F.Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a star's member and its hub that full sets confirm. Pairs is a written table."""
+    stars = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("tasks", F.ceil(F.col("n") / F.greatest(F.lit(STAR), F.sqrt("n"))).cast("int")), "stars")
+    members = looked_up(pairs, stars, "b", "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("a"), F.col("tasks")).cast("int").alias("task"))
+    members = members.join(sets.hint("merge"), F.col("a") == F.col("doc_id")).select("a", "b", "task", F.lit(1).alias("side"), "set")
+    hubs = stars.join(sets.hint("merge"), F.col("b") == F.col("doc_id")).select("b", F.explode(F.expr("sequence(0, tasks - 1)")).alias("task"), "set")
+    met = members.unionByName(hubs.select(F.col("b").alias("a"), "b", "task", F.lit(0).alias("side"), "set"))
+    out = cut(met.repartition("b", "task").sortWithinPartitions("b", "task", "side").mapInArrow(lean(_confirmed(percent)), "a long, b long"), "links")
+    drop_cut(stars)
+    return out
+
+
+def _linked_roots(reps: DataFrame, docs: DataFrame, percent: int, small: int, star_hubs: int) -> DataFrame:
+    """(node, root) of all documents that link with another, by stars of buckets until none is undecided."""
+    keyed = reps.select(F.col("id").alias("doc_id"), "n_shingles", F.explode("keys").alias("key"))
+    buckets = cut(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    undecided = cut(looked_up(keyed, buckets, "key", "n", BANDS * reps.count()).where("doc_id <> hub.doc_id"), "undecided")
+    drop_cut(buckets)
+    pairs = cut(undecided.where(_fit(F.col("n_shingles"), F.col("hub.n_shingles"), percent)).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "pairs")
+    members = undecided.select(F.col("doc_id").alias("id")).union(undecided.select("hub.doc_id")).distinct().join(reps.select("id", "doc_id", "mark"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("mark", _mark())
+    texts = texts.join(members.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select(F.col("id").alias("doc_id"), "text")
+    sets = cut(texts.select("doc_id", "text").mapInArrow(lean(_with_sets), "doc_id long, set binary"), "sets")
+    links = _links(pairs, sets, percent)
+    roots = components(links)
+    drop_cut(pairs)
+    drop_cut(links)
+    many, left = star_hubs, undecided.where("n > 2")  # a bucket's last member has nothing left to meet
+    while True:
+        named = cut(left.select("key", "doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "named")
+        drop_cut(undecided)
+        labels = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        busy = labels.groupBy("key").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select("key", "n", "main")
+        busy = cut(busy, "busy")
+        if busy.isEmpty():
+            for old in (named, busy, sets):
+                drop_cut(old)
+            return roots
+        total = named.count()
+        outside = looked_up(named, busy, "key", "n", total).where("label <> main")
+        slot = F.when(F.col("n") <= small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(many)))
+        hubs = outside.groupBy("key", slot.alias("slot"), "n").agg(F.min(F.struct("doc_id", "n_shingles", "label")).alias("hub"))
+        # at most `small` or `many` hubs to a bucket
+        hubs = cut(hubs.groupBy("key", "n").agg(F.collect_list("hub").alias("hubs")), "hubs")
+        met = cut(looked_up(named, hubs, "key", "n", total), "met")
+        apart = F.filter("hubs", lambda h: (h["label"] != F.col("label")) & _fit(F.col("n_shingles"), h["n_shingles"], percent))
+        pairs = cut(met.select(F.col("doc_id").alias("a"), F.explode(apart).alias("h")).select("a", F.col("h.doc_id").alias("b")).distinct(), "pairs")
+        left = undecided = cut(met.where(~F.exists("hubs", lambda h: h["doc_id"] == F.col("doc_id"))).select("key", "doc_id", "n_shingles"), "undecided")
+        links = _links(pairs, sets, percent)
+        edges = cut(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "edges")
+        joined = components(edges)
+        for old in (named, busy, hubs, met, pairs, links, roots, edges):
+            drop_cut(old)
+        roots, many = joined, min(MOST_HUBS, 4 * many)
+
+
+def _mark() -> F.Column:
+    """What tells texts of one id from each other."""
+    return F.coalesce(F.md5("text"), F.lit("-"))
+
+
+def _judged(docs: DataFrame, percent: int, small: int, star_hubs: int) -> DataFrame:
+    """doc_id, mark, n_shingles, print, component_id of each row."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", _mark())
+    sigs = cut(own.mapInArrow(lean(_signatures), "doc_id long, mark string, n_shingles long, print binary, keys array<long>"), "sig")
+    # one node for each distinct set, as one id may have several; its number is fixed once it is written
+    reps = sigs.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "mark", "n_shingles", "keys")).alias("r"))
+    reps = cut(reps.select("print", "r.*", F.monotonically_increasing_id().alias("id")), "rep")
+    roots = _linked_roots(reps, docs, percent, small, star_hubs)
+    named = cut(roots.select("node", "root").union(roots.select("root", "root").distinct()).join(reps.select(F.col("id").alias("node"), "doc_id", "print"), "node"), "named")
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("n")), "least")
+    linked_ = cut(looked_up(named, least, "root", "n", named.count()).select("print", "component"), "linked")
+    for old in (roots, named, least):
+        drop_cut(old)
+    groups = reps.select("print", F.col("doc_id").alias("rep")).join(linked_, "print", "left")
+    out = sigs.join(groups, "print", "left")
+    return out.select("doc_id", "mark", "n_shingles", "print", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL_BUCKET, star_hubs: int = 1) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     Defined results: null and blank texts have no set, link with nothing and are
     kept; repeated rows with one doc_id get one result each, by their own texts;
     other columns are ignored; an empty table gives an empty table. A null id has
-    no component but its own null and is kept.
+    no component but its own null and is kept. A text of any length is read whole,
+    by one task, and two sets are compared in one task.
     """
-    sigs = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_signatures), "doc_id long, n_shingles long, print binary, keys array<long>"), "sig")
-    reps = cut(sigs.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r")).select("print", "r.*"), "rep")
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    stars = keyed.join(hubs, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    clusters = components(stars)
-    member = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
-    member = member.join(reps.select("doc_id", "n_shingles").distinct(), "doc_id")
-    load = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("blocks"))
-    member = cut(member.join(load, "cluster").select("doc_id", "cluster", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")), "member")
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.hint("merge"), "doc_id").mapInArrow(lean(_with_sets), "doc_id long, cluster long, blocks int, block int, set binary")
-    # block i meets every block j: as side 0 where i <= j, else as side 1; the pair's number is min * blocks + max
-    dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "cluster", "doc_id", "set", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
-    met = dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
-    links = met.mapInArrow(lean(_confirmed(percent)), "a long, b long")
-    roots = components(links)
-    out = sigs.select("doc_id", "n_shingles", "print").join(reps.select("print", F.col("doc_id").alias("rep")), "print", "left")
-    out = out.join(roots, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
+    out = _judged(docs, percent, small, star_hubs)
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -310,8 +350,18 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; of repeated rows of an id, one. Rows without an id stay."""
-    kept = cut(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
+    """One document of each group: the one with the smallest id.
+
+    Defined results: of rows with one id and one set (or none) that have several
+    texts, the text with the smallest md5 stays, and of rows with one id and text
+    the one with the smallest hash of its columns; rows with one id and different
+    sets are judged each by its own; rows without an id stay; further columns are
+    kept; an empty table gives an empty table.
+    """
+    found = _judged(docs, PERCENT, SMALL_BUCKET, 1).where("doc_id IS NOT NULL AND component_id = doc_id")
+    kept = cut(found.groupBy("doc_id", "print").agg(F.min("mark").alias("mark")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "kept")
+    row, hashed = F.struct(*docs.columns), F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), _mark().alias("_mark"), hashed.alias("_hash"), row.alias("_row"))
     # one shuffle of the documents serves the join and the choice among repeated rows; planned alike at every size
-    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    one = own.where("_id IS NOT NULL").join(kept.hint("merge"), ["_id", "_mark"], "left_semi").groupBy("_id", "_mark").agg(F.min_by("_row", "_hash").alias("_row"))
+    return one.select("_row").union(own.where("_id IS NULL").select("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import cotraining, dedup, html_extract, mixing, packing, sharding
+from quire.llm import _spark, cotraining, dedup, html_extract, mixing, packing, sharding
 from tests.llm.data import ROWS, documents, edge, empty, words
 
 # near duplicates
@@ -62,10 +62,12 @@ def chains(spark):
     return rows
 
 
-@pytest.mark.parametrize("blocks", [(512, 1 << 20), (7, 500)])
-def test_chains_equal_all_pairs(spark, chains, blocks):
+@pytest.mark.parametrize("small, hot", [(32, 512), (3, 4)])
+def test_chains_equal_all_pairs(spark, chains, small, hot, monkeypatch):
+    monkeypatch.setattr(_spark, "HOT_ROWS", hot)
+    monkeypatch.setattr(dedup, "STAR", hot)
     docs = spark.createDataFrame(chains, "doc_id long, text string").repartition(5)
-    found = dedup.near_duplicates(docs, block_docs=blocks[0], block_shingles=blocks[1]).collect()
+    found = dedup.near_duplicates(docs, small=small).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(chains)
 
 
@@ -78,7 +80,26 @@ def test_dedup_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
 
 
-def test_components_of_any_shape(spark):
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    one, two = ("the first text has these few words", 4), ("another one is not like it at all", 4)
+    rows = [(5, *one), (7, *one), (7, *two), (7, two[0].upper(), 9), (7, *two), (8, two[0].replace(" ", "\n"), 4), (9, None, 1), (9, "", 1), (9, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    found = dedup.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(5, 5, True), (7, 5, False)] + [(7, 7, True)] * 3 + [(8, 7, False)] + [(9, 9, True)] * 3
+    kept = sorted((r["doc_id"], (r["text"] or "").lower()) for r in dedup.dedup_stage(spark, docs, "").collect())
+    assert kept == [(5, one[0]), (7, two[0]), (9, "")]
+
+
+def test_links_of_every_fiftieth_document_are_found(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    sets = {r["doc_id"]: shingles(r["text"]) for r in documents(spark, sf_dir).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in dedup.op2_minhash_dedup(spark, sf_dir).collect()}
+    links = [(i, j) for i in sets if i % 50 == 0 and sets[i] for j in sets if i != j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert links and all(found[i] == found[j] for i, j in links)
+
+
+def test_components_of_any_shape(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FOREST", 20)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     edges = [(max(e), min(e)) for e in edges if e[0] != e[1]]
