@@ -4,16 +4,21 @@ The pages of a host are merged by element path. For every path the merged tree
 knows its presentation styles (sequences of child tags) and contents, each with
 the number of pages that show it. A path's importance joins the entropy of its
 styles with that of its contents, both relative to the number of pages: a branch
-that looks and reads the same on every page has none. Such branches are removed,
-inside an element that a page names as its article too, but never that element
-itself; an article that would lose all its text that way keeps it. Elements whose tag, role
-or class says menu, header, footer, sidebar, notice, advert, form or comments are
-removed by that alone; entropy can't find those whose words change from page to
-page.
+that looks and reads the same on every page has none. An importance found on few
+pages is drawn towards 1, so one page removes nothing and five alike ones do.
+
+A branch's score is its importance times a weight. Tags and roles that HTML
+itself sets apart from the article (nav, footer, aside, form, ...) weigh 0. A
+class or id that sounds like advert, notice or comments weighs little, more if
+the branch holds much of the page's words, so a name alone doesn't remove what
+is most of a page; inside an element that a page names as its article only whole
+class names of adverts and comments count. Branches that score below the bar go.
+An article that would lose all its text that way keeps it.
 
 Statistics are summed per (host, path, style or content) with map-side
-combination, so a host with a third of all pages is never gathered; what comes
-back to a page is its host's short list of paths of low importance.
+combination, so a host with a third of all pages is never gathered. Pages meet
+their host's short list of paths of low importance by host and a salt that is
+the finer the more pages the host has.
 """
 
 from __future__ import annotations
@@ -22,22 +27,28 @@ import functools
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._spark import lean, table
+from quire.llm._spark import HOT_KEYS, cut, lean, table
 
-#: A path is judged from this many pages on; weight of the styles' own entropy; bar of importance.
-MIN_PAGES, GAMMA, BAR = 5, 0.9, 0.2
+#: Weight of the styles' own entropy; bar of scores; pages of importance 1 that each path has besides its own.
+GAMMA, BAR, PRIOR = 0.9, 0.2, 1.0
+#: Weight of a branch whose name sounds like noise, and what all of the page's words would add to it.
+NAMED, NAMED_SHARE = 0.1, 0.2
+#: Pages of a host that meet its list in one task.
+HOST_PAGES = 512
 #: Characters of a path that is written out.
 LONGEST = 240
 #: Contents are polynomials of their words' hashes in this base, modulo this prime.
 BASE, PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'>/]+)")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +62,9 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
 }
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select option optgroup textarea input label fieldset legend svg canvas object applet embed audio video map dialog menu head title noframes xmp datalist output progress meter".split())
+NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select option optgroup textarea input svg canvas object applet embed audio video map menu head title noframes xmp datalist progress meter".split())
+#: Whole class names of adverts and reader comments, also inside a named article.
+CERTAIN_NAMES = frozenset("ad ads advert adverts advertisement adsbygoogle sponsored comments comment-list commentlist comments-area disqus_thread".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 NOISE_NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar sidebars side aside widget widgets ad ads adv advert adverts advertisement advertising adsense adslot adbox banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations comment comments commentlist disqus respond replies reply pagination pager toolbar topbar masthead login search searchform skip outbrain taboola".split()
@@ -67,42 +80,128 @@ class Node:
         self.children: list[Node | str] = []
 
 
+class _Marks:
+    """Where the next mark of a kind is; places are asked for in rising order, so each kind is searched through once."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.found = source, {}
+        self.last = {mark: source.rfind(mark) for mark in (">", '"', "'")}
+        self.dead: set[int] = set()
+
+    def next(self, mark: str, at: int) -> int:
+        """The first place from `at` on, or the source's length."""
+        known = self.found.get(mark, -1)
+        if known < at:
+            known = self.source.find(mark, at)
+            self.found[mark] = known = len(self.source) if known < 0 else known
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """Behind the '>' that isn't quoted, or -1 where none comes.
+
+        Quotes on the way of a search that found none are dead: a later search
+        that comes to one of them ends there.
+        """
+        size, seen = len(self.source), []
+        close, one, two = (self.next(mark, at) for mark in (">", '"', "'"))
+        while True:
+            quote = min(one, two)
+            if close < quote:
+                return close + 1
+            if quote == size or quote in self.dead:
+                break
+            seen.append(quote)
+            at = self.source.find(self.source[quote], quote + 1) + 1
+            if not at:
+                break
+            close, one, two = (x if x >= at else size if at > self.last[mark] else self.source.find(mark, at) for x, mark in ((close, ">"), (one, '"'), (two, "'")))
+        self.dead.update(seen)
+        return -1
+
+
 def parse(source: str) -> Node:
-    """A tree of what the page holds; unclosed and stray tags are taken as browsers take them, more or less."""
+    """A tree of what the page holds; unclosed and stray tags are taken as browsers take them, more or less.
+
+    A '<' that begins no tag, or a tag that never ends, is text.
+    """
     root = Node("#root", {}, None)
-    here, at = root, 0
+    here, at, done, size = root, 0, 0, len(source)
+    marks = _Marks(source)
+    # how often each tag is open; inline ones also since the last block began
+    opened: Counter = Counter()
+    inline: list[Counter] = [Counter()]
 
     def text(raw: str) -> None:
         if raw:
             here.children.append(html.unescape(raw))
 
-    while m := _TOKEN.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:-3])
+    def leave(node: Node) -> None:
+        """Out of a node and of all that is open in it."""
+        nonlocal here
+        while True:
+            gone, here = here, here.parent
+            opened[gone.tag] -= 1
+            if gone.tag in BLOCK:
+                inline.pop()
+            else:
+                inline[-1][gone.tag] -= 1
+            if gone is node:
+                return
+
+    def enter(node: Node) -> None:
+        nonlocal here
+        here = node
+        opened[node.tag] += 1
+        if node.tag in BLOCK:
+            inline.append(Counter())
+        else:
+            inline[-1][node.tag] += 1
+
+    while (start := source.find("<", at)) >= 0:
+        c = source[start + 1 : start + 2]
+        if c in ("!", "?") and c:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                end = size if end < 0 else end + 3
+            elif source.startswith("<![CDATA[", start) and (end := marks.next("]]>", start)) < size:
+                text(source[done:start])
+                here.children.append(source[start + 9 : end])
+                done = at = end + 3
+                continue
+            else:
+                end = marks.next(">", start) + 1
+                if end > size:
+                    at = start + 1
+                    continue
+            text(source[done:start])
+            done = at = end
+            continue
+        closing = c == "/"
+        named = _NAME.match(source, start + 1 + closing)
+        end = marks.tag_end(named.end()) if named else -1
+        if end < 0:
+            at = start + 1
             continue
-        if m[1]:
+        text(source[done:start])
+        done = at = end
+        name, rest = named[0].lower(), source[named.end() : end - 1]
+        if closing:
+            if name not in BLOCK and not inline[-1][name] or not opened[name]:  # </b> doesn't end the paragraph around it
+                if name == "br":
+                    here.children.append(Node("br", {}, here))
+                continue
             node = here
-            while node.parent is not None and node.tag != name:
-                if name not in BLOCK and node.tag in BLOCK:  # </b> doesn't end the paragraph around it
-                    node = root
-                    break
+            while node.tag != name:
                 node = node.parent
-            if node.parent is not None:
-                here = node.parent
-            elif name == "br":
-                here.children.append(Node("br", {}, here))
+            leave(node)
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             node = here
             while node.parent is not None and node.tag != "p" and node.tag not in SCOPE:
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
-        if name in CLOSES:
+                leave(node)
+        if name in CLOSES and any(opened[t] for t in CLOSES[name][0]):
             ended, holders = CLOSES[name]
             node, last = here, None
             while node.parent is not None and node.tag not in holders:
@@ -110,43 +209,54 @@ def parse(source: str) -> Node:
                     last = node
                 node = node.parent
             if last is not None:
-                here = last.parent
+                leave(last)
         attrs = {}
-        if m[3].strip(" /\n\t"):
-            for a in _ATTR.finditer(m[3]):
+        if rest.strip(" /\n\t"):
+            for a in _ATTR.finditer(rest):
                 key = (a[1] or a[5]).lower()
                 attrs.setdefault(key, html.unescape(a[2] or a[3] or a[4] or "") if a[1] else "")
         node = Node(name, attrs, here)
         here.children.append(node)
         if name in _RAW:
-            end = _RAW[name].search(source, at)
-            body = source[at : end.start() if end else len(source)]
+            found = _RAW[name].search(source, at)
+            body = source[at : found.start() if found else size]
             node.children.append(html.unescape(body) if name in ("title", "textarea") else body)
-            at = end.end() if end else len(source)
-        elif name not in VOID and not m[3].endswith("/"):
-            here = node
-        elif name not in VOID and name in BLOCK:
-            here = node  # a slash doesn't close what isn't void
-    text(source[at:])
+            done = at = found.end() if found else size
+        elif name not in VOID and (not rest.endswith("/") or name in BLOCK):  # a slash doesn't close what isn't void
+            enter(node)
+    text(source[done:])
     return root
 
 
-def named_noise(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id say that this isn't the article."""
+def apart(node: Node, in_article: bool) -> bool:
+    """Whether HTML itself says that this isn't the article: by tag, role or being hidden."""
     if node.tag in NOISE_TAGS or node.tag == "header" and not in_article:
         return True
-    if node.tag in ("html", "body", "article", "main", "#root"):
+    if node.tag in ("html", "body", "article", "main", "#root") or not node.attrs:
         return False
     a = node.attrs
-    if not a:
+    return a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
+
+
+def sounds_like_noise(node: Node, in_article: bool) -> bool:
+    """Whether class or id are names of adverts, notices, menus or comments."""
+    a = node.attrs
+    if not a or node.tag in ("html", "body", "article", "main", "#root"):
         return False
-    if a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
+    if in_article:
+        return not CERTAIN_NAMES.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
     names = f"{a.get('class', '')} {a.get('id', '')}"
     if not names.strip():
         return False
     parts = {p.lower() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", names) if p}
-    return bool(parts & NOISE_NAMES) or bool(NOISE_JOINED.search(names)) or "header" in parts and not in_article
+    return bool(parts & NOISE_NAMES) or bool(NOISE_JOINED.search(names)) or "header" in parts
+
+
+def score(node: Node, in_article: bool, importance: float, share: Callable[[Node], float]) -> float:
+    """A branch's importance by its weight; share tells which part of the page's words a node holds."""
+    if apart(node, in_article):
+        return 0.0
+    return importance * (NAMED + NAMED_SHARE * share(node)) if sounds_like_noise(node, in_article) else importance
 
 
 def path_of(node: Node, above: str) -> str:
@@ -225,7 +335,7 @@ def articles(root: Node) -> list[Node]:
         if is_main:
             found.append(node)
             continue
-        if node.parent is not None and node.tag != "header" and named_noise(node, False):
+        if node.parent is not None and node.tag != "header" and apart(node, False):
             continue
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     main = [n for n in found if n.tag == "main" or n.attrs.get("role", "").lower() == "main"]
@@ -244,8 +354,24 @@ def path_to(node: Node) -> str:
     return path
 
 
-def blocks_of(top: Node, inside: bool, low: frozenset[str]) -> list[str]:
-    """The blocks under an element without noise and low branches; `inside` says that a page names it as its article."""
+def words_of(root: Node) -> dict[int, int]:
+    """The number of words under each element, by its id()."""
+    out: dict[int, int] = {}
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if done:
+            out[id(node)] = sum(len(c.split()) if isinstance(c, str) else out[id(c)] for c in node.children)
+        elif node.tag in ("script", "style", "head"):
+            out[id(node)] = 0
+        else:
+            stack.append((node, True))
+            stack.extend((c, False) for c in node.children if not isinstance(c, str))
+    return out
+
+
+def blocks_of(top: Node, inside: bool, low: Mapping[str, float], share: Callable[[Node], float]) -> list[str]:
+    """The blocks under an element without branches that score low; `inside` says that a page names it as its article."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -268,20 +394,13 @@ def blocks_of(top: Node, inside: bool, low: frozenset[str]) -> list[str]:
         else:
             p = above
             if c is not top:
-                if named_noise(c, inside):
+                p = path_of(c, above) if low else ""
+                if score(c, inside, low.get(p, 1.0), share) < BAR:
                     if c.tag in BLOCK:
                         flush()
-                    else:
+                    elif apart(c, inside) or text_of(c):
                         parts.append(" ")
                     continue
-                if low:
-                    p = path_of(c, above)
-                    if p in low:
-                        if c.tag in BLOCK:
-                            flush()
-                        elif text_of(c):
-                            parts.append(" ")
-                        continue
             if c.tag in BLOCK:
                 flush()
                 stack.append((None, ""))
@@ -290,15 +409,22 @@ def blocks_of(top: Node, inside: bool, low: frozenset[str]) -> list[str]:
     return blocks
 
 
-def extract(source: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The article's blocks; `low` are the host's paths of low importance."""
+def extract(source: str | None, low: Mapping[str, float] = MappingProxyType({})) -> str:
+    """The article's blocks; `low` has the importance of the host's paths where it is below the bar."""
     if not source:
         return ""
     root = parse(source)
     tops = articles(root)
+    counts: dict[int, int] = {}
+
+    def share(node: Node) -> float:
+        if not counts:
+            counts.update(words_of(root))
+        return counts.get(id(node), 0) / max(1, counts[id(root)])
+
     blocks: list[str] = []
     for top in tops or [root]:
-        blocks += blocks_of(top, bool(tops), low) or (blocks_of(top, True, frozenset()) if tops and low else [])
+        blocks += blocks_of(top, bool(tops), low, share) or (blocks_of(top, True, {}, share) if tops and low else [])
     return "\n\n".join(blocks)
 
 
@@ -329,7 +455,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "kind", "value"])
 
 
-def style_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def style_trees(pages: DataFrame, prior: float = PRIOR) -> DataFrame:
     """pages(host, html) -> host, path, pages, importance."""
     rows = pages.where("host IS NOT NULL AND html IS NOT NULL").select("host", "html").mapInArrow(lean(_tree_rows), "host string, path string, kind int, value long")
     counts = rows.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
@@ -342,29 +468,34 @@ def style_trees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     n = F.col("pages")
     entropy = lambda x: F.when(n > 1, (F.log(n) - F.col(x) / n) / F.log(n)).otherwise(1.0)
     own = F.pow(F.lit(GAMMA), F.col("styles"))
-    return per.where(n >= min_pages).select("host", "path", "pages", ((1 - own) * entropy("s") + own * entropy("t")).alias("importance"))
+    found = (1 - own) * entropy("s") + own * entropy("t")
+    return per.select("host", "path", "pages", ((n * found + prior) / (n + prior)).alias("importance"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars.
 
     Defined results: null and empty pages have the text ''; pages without a host
-    are judged by their own names alone; repeated rows are extracted one by one
-    (and count as pages of their host); an empty table gives an empty table.
+    are judged without a tree; repeated rows are extracted one by one (and count
+    as pages of their host); other columns are ignored; a page of any length is
+    read whole, by one task, in time in proportion to its length; an empty table
+    gives an empty table.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit("")).alias("host"))
-    low = style_trees(own).where(F.col("importance") < BAR).groupBy("host").agg(F.collect_set("path").alias("low"))
+    low = cut(style_trees(own).where(F.col("importance") < BAR).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("low")), "low")
+    sizes = cut(own.where("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most HOT_KEYS hosts have so many pages
+    hot = sizes.where(F.col("n") > max(HOST_PAGES, total // HOT_KEYS)).select("host", F.ceil(F.col("n") / HOST_PAGES).cast("int").alias("salts"))
+    salted = own.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.coalesce("salts", F.lit(1))).cast("int"))
+    low = low.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).select("host", "salt", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[str]] = {}
         for batch in batches:
-            texts = []
-            for source, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
-                key = tuple(sorted(paths or ()))
-                texts.append(extract(source, sets.setdefault(key, frozenset(key))))
+            texts = [extract(source, dict(found or ())) for source, found in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
+    return salted.join(low, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Near duplicates, mixing, packing, sharding, extraction, the classifier."""
 
+import math
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -315,6 +318,96 @@ def test_article_is_left():
     assert html_extract.extract("<p>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_alone_dont_empty_an_article():
+    page = "<article><p>Kept one.</p><div class='related-work'>Related</div><section id='alert'>Alert</section><h2 class='share'>Share</h2><fieldset><legend>Legend</legend>Set</fieldset></article>"
+    assert html_extract.extract(page) == "Kept one.\n\nRelated\n\nAlert\n\nShare\n\nLegend\n\nSet"
+    page = "<body><div class='widget'>" + "<p>many words of the page</p>" * 20 + "</div><div class='advert'>Buy this</div></body>"
+    assert html_extract.extract(page) == "\n\n".join(["many words of the page"] * 20)
+
+
+@pytest.mark.parametrize("part", ["<a href='x ", '<a "', "<a '\">\"", "<", "<div ", "<! ", "<![CDATA[ ", "<ul><li>", "</p><i>", "<p><span>", "<b>x</i>"])
+def test_a_megabyte_of_broken_tags_takes_seconds(part):
+    started = time.monotonic()
+    html_extract.extract(part * (1_000_000 // len(part)))
+    assert time.monotonic() - started < 30
+
+
+def test_tags_end_where_a_slow_reading_ends():
+    """Each '<' with a name is a tag if a '>' outside of quotes follows; all texts between are kept."""
+    rng = random.Random(8)
+    for _ in range(400):
+        source = "".join(rng.choice(["<a ", ">", '"', "'", "x", "</a", "<", " b="]) for _ in range(rng.randrange(40)))
+        want, at = [], 0
+        while at < len(source):
+            if m := re.match(r"</?[a-zA-Z][^\s/>]*", source[at:]):
+                k, quote = at + m.end(), ""
+                while k < len(source) and (quote or source[k] != ">"):
+                    if not quote and source[k] in "\"'":
+                        quote = source[k]
+                    elif source[k] == quote:
+                        quote = ""
+                    k += 1
+                if k < len(source):
+                    at = k + 1
+                    want.append(" ")
+                    continue
+            want.append(source[at])
+            at += 1
+        assert html_extract.text_of(html_extract.parse(source)).replace(" ", "") == "".join("".join(want).split()), source
+
+
+def slow_tree(pages):
+    """(path, pages, importance) of one host's pages, from lists of what each page shows."""
+    shown = defaultdict(lambda: ([], []))
+    for source in pages:
+        own = defaultdict(lambda: ([], []))
+
+        def walk(node, above, own=own):
+            for c in node.children:
+                if isinstance(c, str):
+                    continue
+                path = html_extract.path_of(c, above)
+                if c.tag not in ("script", "style", "meta", "link", "title", "html", "body", "head"):
+                    own[path][0].append(html_extract.style_of(c))
+                    own[path][1].append(html_extract.text_of(c))
+                walk(c, path)
+
+        walk(html_extract.parse(source), "")
+        for path, (styles, contents) in own.items():
+            shown[path][0].append(tuple(styles))
+            shown[path][1].append(tuple(contents))
+    out = []
+    for path, kinds in shown.items():
+        n = len(kinds[0])
+        entropy = [-sum(c / n * math.log(c / n) for c in Counter(k).values()) / math.log(n) if n > 1 else 1.0 for k in kinds]
+        own = 0.9 ** len(set(kinds[0]))
+        out.append((path, n, (n * ((1 - own) * entropy[0] + own * entropy[1]) + 1) / (n + 1)))
+    return sorted(out)
+
+
+def test_the_style_tree_equals_a_slow_one(spark):
+    rng = random.Random(3)
+
+    def page():
+        inner = "".join(rng.choice(["<p>one</p>", "<div class='x'>two<b>three</b></div>", "<ul><li>a<li>b</ul>", f"<p>{rng.randrange(9)}</p>"]) for _ in range(rng.randrange(5)))
+        return f"<html><body><div class='top'>Same</div>{inner}</body></html>"
+
+    pages = [page() for _ in range(30)]
+    found = html_extract.style_trees(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()
+    want = slow_tree(pages)
+    assert sorted((r["path"], r["pages"]) for r in found) == [(p, n) for p, n, _ in want]
+    assert np.allclose([r["importance"] for r in sorted(found, key=lambda r: r["path"])], [x for _, _, x in want])
+    assert dict((p, x) for p, _, x in want)["/html/body/div.top"] < html_extract.BAR
+
+
+def test_a_host_with_many_pages_meets_its_list_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "HOST_PAGES", 5)
+    frame = lambda i: f"<html><body><div class='frame'>Same on all pages</div><p>Own text {i}</p></body></html>"
+    rows = [(i, f"https://h.org/{i}", frame(i)) for i in range(40)] + [(50 + i, f"https://k.org/{i}", frame(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i}" for i in range(40)} | {50 + i: f"Own text {i}" for i in range(6)}
+
+
 def test_branches_that_never_change_go(spark):
     frame = lambda i: f"<html><body><div class='frame'><span>Same on all pages</span></div><div class='x'><p>Own text {i} of page {i * 7}</p></div></body></html>"
     pages = spark.createDataFrame([(i, f"https://h.org/{i}", frame(i)) for i in range(12)] + [(99, "https://other.org/", frame(5)), (100, None, frame(1)), (101, "u", None)], "page_id long, url string, html string")
