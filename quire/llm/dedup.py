@@ -10,16 +10,19 @@
    and not n * (n - 1) / 2. At similarity 0.85 a pair misses all 36 bands with
    probability (1 - 0.85^7)^36 < 1e-6.
 4. Candidate edges are confirmed on full sets, and the components of the
-   confirmed links joined. A bucket is done when all that is left in it belongs
-   to one component. Otherwise members outside its largest component become new
-   hubs, are compared with the members of other components and leave the bucket:
-   one hub, then 4, 16, ...; in a small bucket all at once.
-5. Components of the confirmed links are the result.
-
-No link between two members of a bucket is lost: they are compared when the
-first of them becomes a hub, or they are connected by then. Work in a bucket
-grows with its members times those hubs that link to nothing, not with the
-square of its members. A hub's members are dealt to several tasks.
+   confirmed links joined. A bucket is decided when all that is left in it belongs
+   to one component, as in most groups of copies.
+5. Members that share undecided buckets form clusters. What lies outside of a
+   cluster's largest component, the outsiders, is compared with all of the
+   cluster, in blocks of bounded size: exact counts of common shingles for all
+   pairs of two blocks are products of incidence matrices.
+6. Components of all confirmed links are the result.
+
+No link between two members of a bucket is lost: they are connected by then, or
+one of them is an outsider of their cluster. Nothing grows with the square of a
+group of copies that link to its hub; what doesn't link costs outsiders times
+members, a few operations each, in blocks that are independent tasks. A hub's
+members are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ SHINGLE = 5
 BANDS, ROWS = 36, 7
 BINS = BANDS * ROWS
 PERCENT = 85
-#: In buckets of so many members all outsiders become hubs at once; at most so many hubs of a larger one in a round.
-SMALL_BUCKET, MOST_HUBS = 32, 4096
+#: Documents and shingles of a block of outsiders or members, and columns of an incidence matrix at once.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 1 << 13
 #: Members that one task compares with a hub, at least; a hub of n members is sent to n / max(this, sqrt(n)) tasks.
 STAR = 256
 #: Edges of which one task makes a forest.
@@ -188,6 +191,75 @@ def _confirmed(percent: int):
     return run
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, from products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    one, two = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(one, two)
+    if not len(shared):
+        return out
+    sides = []
+    for sets, flat in ((left, one), (right, two)):
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        keep = shared[at] == flat
+        sides.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[keep], at[keep]))
+    for first in range(0, len(shared), COLUMNS):
+        maps = []
+        for sets, (row, column) in zip((left, right), sides, strict=True):
+            own = (column >= first) & (column < first + COLUMNS)
+            dense = np.zeros((len(sets), min(COLUMNS, len(shared) - first)), dtype=np.float32)
+            dense[row[own], column[own] - first] = 1
+            maps.append(dense)
+        out += maps[0] @ maps[1].T
+    return out
+
+
+def block_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links between (id, label, set) of two blocks; equal labels are connected already."""
+    n, m = (np.array([len(s) for _, _, s in side], dtype=np.float64) for side in (left, right))
+    fit = 100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)
+    fit &= np.array([label for _, label, _ in left])[:, None] != np.array([label for _, label, _ in right])
+    if not fit.any():
+        return []
+    rows, columns = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+    both = common([left[i][2] for i in rows], [right[j][2] for j in columns]).astype(np.float64)
+    found = fit[np.ix_(rows, columns)] & (100 * both >= percent * (n[rows][:, None] + m[columns] - both))
+    number: dict[int, int] = {}
+    forest, out = Forest(0), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
+        a, b = left[rows[i]], right[columns[j]]
+        for label in (a[1], b[1]):
+            if label not in number:
+                number[label] = len(forest.up)
+                forest.up.append(len(forest.up))
+        if forest.join(number[a[1]], number[b[1]]):
+            out.append((a[0], b[0]))
+    return out
+
+
+def _blocks_met(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by block pair; a pair is done when the next begins."""
+        key, sides = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            links = block_links(*sides, percent) if sides[0] and sides[1] else []
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("cluster", "pair", "side", "doc_id", "label"))
+            for at, (cluster, pair, side, doc, label) in enumerate(zip(*cols, strict=True)):
+                if (cluster, pair) != key:
+                    yield from done()
+                    key, sides = (cluster, pair), ([], [])
+                sides[side].append((doc, label, np.frombuffer(batch.column("set")[at].as_buffer(), dtype=U).copy()))
+        yield from done()
+
+    return run
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -265,48 +337,62 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _linked_roots(reps: DataFrame, docs: DataFrame, percent: int, small: int, star_hubs: int) -> DataFrame:
-    """(node, root) of all documents that link with another, by stars of buckets until none is undecided."""
+def _outsiders_met(named: DataFrame, busy: DataFrame, sets: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) of undecided buckets: outsiders of each cluster against all of it. Tables are written ones.
+
+    named: key, doc_id, n_shingles, label. busy: key, n, least, of buckets with several labels.
+    """
+    met = cut(looked_up(named, busy, "key", "n", named.count()).select("doc_id", "n_shingles", "label", "least"), "met")
+    edges = cut(met.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), "edges")
+    roots = components(edges)
+    member = cut(met.select("doc_id", "n_shingles", "label").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "label", F.coalesce("root", "doc_id").alias("cluster")), "member")
+    labels = member.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    size = F.struct("c", "label")
+    load = labels.groupBy("cluster").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max_by("label", size).alias("main"), F.max("c").alias("main_n"), F.max_by("s", size).alias("main_s"))
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / block_docs), F.ceil(s / block_shingles)).cast("int")
+    load = cut(load.select("cluster", "n", "main", blocks(F.col("n"), F.col("s")).alias("blocks"), blocks(F.col("n") - F.col("main_n"), F.col("s") - F.col("main_s")).alias("outer")), "load")
+    member = looked_up(member, load, "cluster", "n", member.count())
+    # an outsider is also one of the members that the others meet
+    number, out = F.xxhash64("doc_id"), F.col("label") != F.col("main")
+    as_member = member.select("doc_id", "label", "cluster", F.lit(1).alias("side"), F.pmod(number, F.col("blocks")).alias("own"), F.explode(F.expr("sequence(0, outer - 1)")).alias("other"), "blocks")
+    as_member = as_member.select("doc_id", "label", "cluster", "side", (F.col("other") * F.col("blocks") + F.col("own")).cast("long").alias("pair"))
+    as_outer = member.where(out).select("doc_id", "label", "cluster", F.lit(0).alias("side"), F.pmod(number, F.col("outer")).alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"), "blocks")
+    as_outer = as_outer.select("doc_id", "label", "cluster", "side", (F.col("own") * F.col("blocks") + F.col("other")).cast("long").alias("pair"))
+    dealt = as_member.unionByName(as_outer).join(sets.hint("merge"), "doc_id").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+    links = cut(dealt.select("doc_id", "label", "cluster", "pair", "side", "set").mapInArrow(lean(_blocks_met(percent)), "a long, b long"), "links")
+    for old in (met, edges, roots, load):
+        drop_cut(old)
+    return links
+
+
+def _linked_roots(reps: DataFrame, docs: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """(node, root) of all documents that link with another: stars of buckets first, then what they leave undecided."""
     keyed = reps.select(F.col("id").alias("doc_id"), "n_shingles", F.explode("keys").alias("key"))
     buckets = cut(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    undecided = cut(looked_up(keyed, buckets, "key", "n", BANDS * reps.count()).where("doc_id <> hub.doc_id"), "undecided")
-    drop_cut(buckets)
-    pairs = cut(undecided.where(_fit(F.col("n_shingles"), F.col("hub.n_shingles"), percent)).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "pairs")
-    members = undecided.select(F.col("doc_id").alias("id")).union(undecided.select("hub.doc_id")).distinct().join(reps.select("id", "doc_id", "mark"), "id")
+    starred = cut(looked_up(keyed, buckets, "key", "n", BANDS * reps.count()).where("doc_id <> hub.doc_id"), "starred")
+    pairs = cut(starred.where(_fit(F.col("n_shingles"), F.col("hub.n_shingles"), percent)).select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "pairs")
+    members = starred.select(F.col("doc_id").alias("id")).union(starred.select("hub.doc_id")).distinct().join(reps.select("id", "doc_id", "mark"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn("mark", _mark())
+    # of rows that share an id only those with the representative's text have its set
     texts = texts.join(members.hint("merge"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select(F.col("id").alias("doc_id"), "text")
-    sets = cut(texts.select("doc_id", "text").mapInArrow(lean(_with_sets), "doc_id long, set binary"), "sets")
+    sets = cut(texts.mapInArrow(lean(_with_sets), "doc_id long, set binary"), "sets")
     links = _links(pairs, sets, percent)
     roots = components(links)
-    drop_cut(pairs)
-    drop_cut(links)
-    many, left = star_hubs, undecided.where("n > 2")  # a bucket's last member has nothing left to meet
-    while True:
-        named = cut(left.select("key", "doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "named")
-        drop_cut(undecided)
-        labels = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        busy = labels.groupBy("key").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main")).where("labels > 1").select("key", "n", "main")
-        busy = cut(busy, "busy")
-        if busy.isEmpty():
-            for old in (named, busy, sets):
-                drop_cut(old)
-            return roots
-        total = named.count()
-        outside = looked_up(named, busy, "key", "n", total).where("label <> main")
-        slot = F.when(F.col("n") <= small, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(many)))
-        hubs = outside.groupBy("key", slot.alias("slot"), "n").agg(F.min(F.struct("doc_id", "n_shingles", "label")).alias("hub"))
-        # at most `small` or `many` hubs to a bucket
-        hubs = cut(hubs.groupBy("key", "n").agg(F.collect_list("hub").alias("hubs")), "hubs")
-        met = cut(looked_up(named, hubs, "key", "n", total), "met")
-        apart = F.filter("hubs", lambda h: (h["label"] != F.col("label")) & _fit(F.col("n_shingles"), h["n_shingles"], percent))
-        pairs = cut(met.select(F.col("doc_id").alias("a"), F.explode(apart).alias("h")).select("a", F.col("h.doc_id").alias("b")).distinct(), "pairs")
-        left = undecided = cut(met.where(~F.exists("hubs", lambda h: h["doc_id"] == F.col("doc_id"))).select("key", "doc_id", "n_shingles"), "undecided")
-        links = _links(pairs, sets, percent)
-        edges = cut(links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "edges")
-        joined = components(edges)
-        for old in (named, busy, hubs, met, pairs, links, roots, edges):
-            drop_cut(old)
-        roots, many = joined, min(MOST_HUBS, 4 * many)
+    # in a bucket of two nothing is left to meet
+    named = starred.where("n > 2").select("key", "doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
+    named = cut(named.select("key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("label")), "named")
+    busy = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    busy = cut(busy.select("key", "n", "least"), "busy")
+    if not busy.isEmpty():
+        more = _outsiders_met(named, busy, sets, percent, block_docs, block_shingles)
+        edges = cut(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "edges")
+        drop_cut(roots)
+        roots = components(edges)
+        drop_cut(more)
+        drop_cut(edges)
+    for old in (buckets, starred, pairs, links, named, busy, sets):
+        drop_cut(old)
+    return roots
 
 
 def _mark() -> F.Column:
@@ -314,14 +400,14 @@ def _mark() -> F.Column:
     return F.coalesce(F.md5("text"), F.lit("-"))
 
 
-def _judged(docs: DataFrame, percent: int, small: int, star_hubs: int) -> DataFrame:
+def _judged(docs: DataFrame, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, mark, n_shingles, print, component_id of each row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("mark", _mark())
     sigs = cut(own.mapInArrow(lean(_signatures), "doc_id long, mark string, n_shingles long, print binary, keys array<long>"), "sig")
     # one node for each distinct set, as one id may have several; its number is fixed once it is written
     reps = sigs.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min(F.struct("doc_id", "mark", "n_shingles", "keys")).alias("r"))
     reps = cut(reps.select("print", "r.*", F.monotonically_increasing_id().alias("id")), "rep")
-    roots = _linked_roots(reps, docs, percent, small, star_hubs)
+    roots = _linked_roots(reps, docs, percent, block_docs, block_shingles)
     named = cut(roots.select("node", "root").union(roots.select("root", "root").distinct()).join(reps.select(F.col("id").alias("node"), "doc_id", "print"), "node"), "named")
     least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("n")), "least")
     linked_ = cut(looked_up(named, least, "root", "n", named.count()).select("print", "component"), "linked")
@@ -332,7 +418,7 @@ def _judged(docs: DataFrame, percent: int, small: int, star_hubs: int) -> DataFr
     return out.select("doc_id", "mark", "n_shingles", "print", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL_BUCKET, star_hubs: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     Defined results: null and blank texts have no set, link with nothing and are
@@ -341,7 +427,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, small: int = SMALL_
     no component but its own null and is kept. A text of any length is read whole,
     by one task, and two sets are compared in one task.
     """
-    out = _judged(docs, percent, small, star_hubs)
+    out = _judged(docs, percent, block_docs, block_shingles)
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -358,7 +444,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sets are judged each by its own; rows without an id stay; further columns are
     kept; an empty table gives an empty table.
     """
-    found = _judged(docs, PERCENT, SMALL_BUCKET, 1).where("doc_id IS NOT NULL AND component_id = doc_id")
+    found = _judged(docs).where("doc_id IS NOT NULL AND component_id = doc_id")
     kept = cut(found.groupBy("doc_id", "print").agg(F.min("mark").alias("mark")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "kept")
     row, hashed = F.struct(*docs.columns), F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), _mark().alias("_mark"), hashed.alias("_hash"), row.alias("_row"))

@@ -65,12 +65,12 @@ def chains(spark):
     return rows
 
 
-@pytest.mark.parametrize("small, hot", [(32, 512), (3, 4)])
-def test_chains_equal_all_pairs(spark, chains, small, hot, monkeypatch):
+@pytest.mark.parametrize("blocks, hot", [((512, 1 << 20), 512), ((7, 500), 4)])
+def test_chains_equal_all_pairs(spark, chains, blocks, hot, monkeypatch):
     monkeypatch.setattr(_spark, "HOT_ROWS", hot)
     monkeypatch.setattr(dedup, "STAR", hot)
     docs = spark.createDataFrame(chains, "doc_id long, text string").repartition(5)
-    found = dedup.near_duplicates(docs, small=small).collect()
+    found = dedup.near_duplicates(docs, block_docs=blocks[0], block_shingles=blocks[1]).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(chains)
 
 
@@ -83,6 +83,14 @@ def test_dedup_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
 
 
+def test_common_counts_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 5))
+    assert dedup.common(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert dedup.common(left, [np.array([99], dtype=np.uint64)]).sum() == 0
+
+
 def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
     one, two = ("the first text has these few words", 4), ("another one is not like it at all", 4)
     rows = [(5, *one), (7, *one), (7, *two), (7, two[0].upper(), 9), (7, *two), (8, two[0].replace(" ", "\n"), 4), (9, None, 1), (9, "", 1), (9, "", 1)]
