@@ -8,9 +8,10 @@ seeded run of consecutive blocks is taken, so a document is taken whole but for
 the two at the run's ends.
 
 Per-source and per-shard totals are the only figures on the driver: sources are
-a catalogue (tens to many thousands) and a source has at most `max_shards`
-shards. Document rows never leave the executors, and a source is never gathered
-in one task: its shards are.
+a catalogue (tens to many thousands), and shards grow with the corpus once there
+would be more than `most_shards` of them. Document rows never leave the
+executors, and a source is never gathered in one task: its shards are, as narrow
+rows that a window sorts and streams.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import types as T
 from quire.llm._spark import cut, n_words, table
 
 BLOCK = 32
+#: Words of a shard; a mix of more than MOST_SHARDS such shards has larger ones.
 SHARD_WORDS = 4_000_000
-MAX_SHARDS = 1024
+MOST_SHARDS = 65_536
 REPEAT = 3
 SEED = "mix-1"
 
@@ -105,7 +107,7 @@ def _low32(md5) -> F.Column:
     return F.conv(F.substring(md5, 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, repeat: int = REPEAT, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, repeat: int = REPEAT, shard_words: int = SHARD_WORDS, most_shards: int = MOST_SHARDS) -> DataFrame:
     """docs(doc_id, source, size) with source_size, target and taken.
 
     Defined results: null sources form one source of their own, the last; empty
@@ -116,8 +118,9 @@ def mix(docs: DataFrame, block: int = BLOCK, repeat: int = REPEAT, shard_words:
     spark = docs.sparkSession
     base = cut(docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), _key(F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias("key")), "mix")
     plan = mix_plan([(r["source"], int(r["s"])) for r in base.groupBy("source").agg(F.sum("size").alias("s")).collect()], block, repeat)
+    shard_words = max(shard_words, -(-sum(p["source_size"] for p in plan) // most_shards))
     for p in plan:
-        p["shards"] = max(1, min(max_shards, -(-p["source_size"] // shard_words)))
+        p["shards"] = max(1, -(-p["source_size"] // shard_words))
     schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_shards", T.IntegerType())])
     by_source = spark.createDataFrame([(p["source"], p["source_size"], p["target"], p["shards"]) for p in plan], schema)
     dealt = base.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", F.when(F.col("_shards") == 1, 0).otherwise(F.pmod(_low32(F.col("key")), F.col("_shards"))).cast("int"))
@@ -154,13 +157,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: once for each full size taken, and once more where at least half a size remains."""
+    """Documents as often as the mix takes them: once for each full size taken, and once more where at least half a size remains.
+
+    Defined results: empty documents aren't taken; equal rows are taken alike;
+    null sources are one source; further columns are kept; an empty table gives an
+    empty table.
+    """
     keep = docs.columns
-    sized = docs.select(F.xxhash64(*[F.col(c).cast("string") for c in keep]).alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    # a null is marked, or ("a", null) and (null, "a") would be one row
+    row = F.xxhash64(*[x for c in keep for x in (F.col(c).isNull(), F.col(c).cast("string"))])
+    sized = docs.select(row.alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     times = mix(sized).groupBy("doc_id").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
     # equal rows share one key: each of them is repeated for its share of what the key takes
     times = times.select(F.col("doc_id").alias("_key"), F.when(F.col("_size") == 0, 0).otherwise(F.floor(F.col("_taken") / (F.col("_size") * F.col("_rows")) + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    own = docs.select(F.struct(*keep).alias("_row"), F.xxhash64(*[F.col(c).cast("string") for c in keep]).alias("_key"))
+    own = docs.select(F.struct(*keep).alias("_row"), row.alias("_key"))
     return own.join(times, "_key").select(F.explode(F.expr("array_repeat(_row, _times)")).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in keep])
 
 

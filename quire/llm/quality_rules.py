@@ -8,7 +8,8 @@ user function runs.
 Defined results: a null or blank text has no words, measures of 0 and fails the
 base; rows with equal ids or texts are judged alike and all kept as rows;
 further columns of the input pass through untouched (a clashing name is replaced
-by this operator's value); an empty table gives an empty table.
+by this operator's value, and names that begin with _rule_ are its own); a text of
+any length is measured whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ MEASURES = {
 }
 
 RULES = (
-    Rule("length", "n_words", 50, 10_000_000),
+    Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_chars", 2.0, 14.0),
     Rule("symbols", "symbols_per_word", None, 0.1),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.3),
@@ -86,25 +87,25 @@ def _measured(df: DataFrame, text: str = "text") -> DataFrame:
     """
     e = F.expr
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
-    df = df.withColumn("_t", trimmed)
-    df = df.withColumn("_w", _bound(F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", _SPLIT))))
-    df = df.withColumn("_l", _bound(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
-    windows = "transform(sequence(1, size(_w) - 2), i -> xxhash64(element_at(_w, i), element_at(_w, i + 1), element_at(_w, i + 2)))"
-    df = df.withColumn("_h", _bound(e(f"CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE {windows} END")))
-    df = df.withColumn("_s", _bound(F.when(F.size(F.array_distinct("_h")) == F.size("_h"), e("cast(array() AS array<struct<h:bigint,i:int>>)")).otherwise(e("sort_array(transform(_h, (x, i) -> named_struct('h', x, 'i', i)))"))))
-    df = df.withColumn("_r", _bound(e("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND x.h = _s[greatest(k - 1, 0)].h) OR (k < size(_s) - 1 AND x.h = _s[least(k + 1, size(_s) - 1)].h)), x -> x.i))")))
+    df = df.withColumn("_rule_t", trimmed)
+    df = df.withColumn("_rule_w", _bound(F.when(F.col("_rule_t") == "", F.array().cast("array<string>")).otherwise(F.split("_rule_t", _SPLIT))))
+    df = df.withColumn("_rule_l", _bound(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
+    df = df.withColumn("n_words", F.size("_rule_w").cast("long"))
+    windows = "transform(sequence(1, size(_rule_w) - 2), i -> xxhash64(element_at(_rule_w, i), element_at(_rule_w, i + 1), element_at(_rule_w, i + 2)))"
+    df = df.withColumn("_rule_h", _bound(e(f"CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE {windows} END")))
+    df = df.withColumn("_rule_s", _bound(F.when(F.size(F.array_distinct("_rule_h")) == F.size("_rule_h"), e("cast(array() AS array<struct<h:bigint,i:int>>)")).otherwise(e("sort_array(transform(_rule_h, (x, i) -> named_struct('h', x, 'i', i)))"))))
+    df = df.withColumn("_rule_r", _bound(e("sort_array(transform(filter(_rule_s, (x, k) -> (k > 0 AND x.h = _rule_s[greatest(k - 1, 0)].h) OR (k < size(_rule_s) - 1 AND x.h = _rule_s[least(k + 1, size(_rule_s) - 1)].h)), x -> x.i))")))
     return (
-        df.withColumn("n_repeat_words", e("CASE WHEN size(_r) = 0 THEN 0L ELSE aggregate(transform(_r, (x, k) -> CASE WHEN k = size(_r) - 1 THEN 3 ELSE least(3, _r[least(k + 1, size(_r) - 1)] - x) END), 0L, (a, x) -> a + x) END"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(F.col("_t"), F.lit("[#*$%&|<>]")).cast("long"))
-        .withColumn("n_lines", F.greatest(F.coalesce(F.size("_l"), F.lit(0)), F.lit(0)).cast("long"))
-        .withColumn("n_dup_lines", (F.col("n_lines") - F.greatest(F.coalesce(F.size(F.array_distinct("_l")), F.lit(0)), F.lit(0))).cast("long"))
-        .withColumn("n_stop_words", F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
-        .withColumn("n_alpha_words", F.regexp_count(F.col("_t"), F.lit(r"(?:^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]*\p{L}")).cast("long"))
-        .withColumn("n_bullet_lines", e(r"CASE WHEN _l IS NULL THEN 0L ELSE cast(size(filter(_l, x -> substring(ltrim(x), 1, 1) IN ('-', '*', '•', '‣', '·'))) AS bigint) END"))
-        .withColumn("n_ellipsis_lines", e("CASE WHEN _l IS NULL THEN 0L ELSE cast(size(filter(_l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS bigint) END"))
-        .drop("_t", "_w", "_l", "_h", "_s", "_r")
+        df.withColumn("n_repeat_words", e("CASE WHEN size(_rule_r) = 0 THEN 0L ELSE aggregate(transform(_rule_r, (x, k) -> CASE WHEN k = size(_rule_r) - 1 THEN 3 ELSE least(3, _rule_r[least(k + 1, size(_rule_r) - 1)] - x) END), 0L, (a, x) -> a + x) END"))
+        .withColumn("word_chars", F.length(F.array_join("_rule_w", "")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(F.col("_rule_t"), F.lit("[#*$%&|<>]")).cast("long"))
+        .withColumn("n_lines", F.greatest(F.coalesce(F.size("_rule_l"), F.lit(0)), F.lit(0)).cast("long"))
+        .withColumn("n_dup_lines", (F.col("n_lines") - F.greatest(F.coalesce(F.size(F.array_distinct("_rule_l")), F.lit(0)), F.lit(0))).cast("long"))
+        .withColumn("n_stop_words", F.size(F.filter("_rule_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
+        .withColumn("n_alpha_words", F.regexp_count(F.col("_rule_t"), F.lit(r"(?:^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]*\p{L}")).cast("long"))
+        .withColumn("n_bullet_lines", e(r"CASE WHEN _rule_l IS NULL THEN 0L ELSE cast(size(filter(_rule_l, x -> substring(ltrim(x), 1, 1) IN ('-', '*', '•', '‣', '·'))) AS bigint) END"))
+        .withColumn("n_ellipsis_lines", e("CASE WHEN _rule_l IS NULL THEN 0L ELSE cast(size(filter(_rule_l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS bigint) END"))
+        .drop("_rule_t", "_rule_w", "_rule_l", "_rule_h", "_rule_s", "_rule_r")
     )
 
 
