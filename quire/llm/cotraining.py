@@ -2,21 +2,21 @@
 
 The text view sees hashed words and shape ratios of the whole text; the
 metadata view sees source, language and length. Each is a logistic model. In
-every round each view labels the pool documents that it is surest of, in the
-classes' proportion, for the other view. Both are then calibrated on a fold that
-neither learned from, and a logistic model over the calibrated views scores all
-documents.
-
-Fitting sees a bounded sample: at most `LABELLED` labelled and `POOL` other
-documents, chosen by hash, and no label of the held-out third. Their features,
-not their texts, come to the driver. Every document is scored in one narrow
-stage.
+every round each view scores all documents that have no label and labels those
+that it is surest of, in the classes' proportion, for the other view. Both are
+then calibrated on a fold that neither learned from, and a logistic model over
+the calibrated views scores all documents.
+
+Fitting sees a bounded sample of labelled documents, at most `LABELLED`, chosen
+by hash, and no label of the held-out third; a round adds at most `PER_ROUND`
+documents to a view. Only their features come to the driver. All features are
+written once; rounds read them, and each task keeps its surest documents alone.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._spark import lean, table
+from quire.llm._spark import cut, drop_cut, lean, table
 from quire.llm.langid import held_out
 
 WORDS = 1 << 14
 SHAPES = 12
 META = 1 << 11
-LABELLED, POOL = 2400, 1600
+LABELLED = 2400
 ROUNDS, PER_ROUND = 3, 120
 KEEP_FROM = 0.5
 
@@ -134,39 +134,41 @@ class Model:
         return sigmoid(self.mix[0] * zt + self.mix[1] * zm + self.mix[2]), sigmoid(zt), sigmoid(zm)
 
 
-def co_train(text_rows: list, meta_rows: list, labels: list[int | None], folds: list[int]) -> Model | None:
-    """Rows with a label learn (fold > 0) or calibrate (fold 0); rows without are the pool."""
-    learn = [i for i, y in enumerate(labels) if y is not None and folds[i]]
-    check = [i for i, y in enumerate(labels) if y is not None and not folds[i]]
-    pool = [i for i, y in enumerate(labels) if y is None]
+Row = tuple[np.ndarray, np.ndarray]
+#: Finds, for fitted weights of both views, the surest documents of each: (view, label, id, text row, metadata row), surest first.
+Surest = Callable[[list[np.ndarray], list[set], int, int], list[tuple[int, int, int, Row, Row]]]
+
+
+def co_train(rows: dict[int, tuple[Row, Row]], labels: dict[int, int], surest: Surest, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """Labelled rows learn, or calibrate if they are of fold 0; surest() is asked for those without label."""
+    learn = [i for i in sorted(labels) if i in rows and _fold(i)]
+    check = [i for i in sorted(labels) if i in rows and not _fold(i)]
     if len({labels[i] for i in learn}) < 2:
         return None
     if len({labels[i] for i in check}) < 2:
         check = learn
-    own = ({i: labels[i] for i in learn}, {i: labels[i] for i in learn})
-    views, sizes = (text_rows, meta_rows), (WORDS + SHAPES, META)
+    rows = dict(rows)
+    own: list[dict[int, int]] = [{i: labels[i] for i in learn}, {i: labels[i] for i in learn}]
+    sizes = (WORDS + SHAPES, META)
     good = sum(labels[i] for i in learn) / len(learn)
     fitted = [np.zeros(0), np.zeros(0)]
-    for turn in range(ROUNDS + 1):
+    for turn in range(rounds + 1):
         for v in (0, 1):
             items = sorted(own[v].items())
-            fitted[v] = fit([views[v][i] for i, _ in items], np.array([y for _, y in items], dtype=float), sizes[v])
-        if turn == ROUNDS:
+            fitted[v] = fit([rows[i][v] for i, _ in items], np.array([y for _, y in items], dtype=float), sizes[v])
+        if turn == rounds:
             break
-        for v in (0, 1):
-            left = [i for i in pool if i not in own[1 - v]]
-            z = View(fitted[v]).logits([views[v][i] for i in left])
-            order = np.argsort(z, kind="stable")
-            up, down = round(PER_ROUND * good), max(1, round(PER_ROUND * (1 - good)))
-            own[1 - v].update({left[k]: 1 for k in order[::-1][:up] if z[k] > 1})
-            own[1 - v].update({left[k]: 0 for k in order[:down] if z[k] < -1})
+        up, down = round(per_round * good), max(1, round(per_round * (1 - good)))
+        for v, y, i, text, meta in surest(fitted, [set(own[1]) | set(labels), set(own[0]) | set(labels)], up, down):
+            rows.setdefault(i, (text, meta))
+            own[1 - v].setdefault(i, y)
     y = np.array([labels[i] for i in check], dtype=float)
     done = []
     for v in (0, 1):
         view = View(fitted[v])
-        view.scale, view.shift = platt(view.logits([views[v][i] for i in check]), y)
+        view.scale, view.shift = platt(view.logits([rows[i][v] for i in check]), y)
         done.append(view)
-    z = np.stack([done[v].calibrated([views[v][i] for i in check]) for v in (0, 1)] + [np.ones(len(check))], axis=1)
+    z = np.stack([done[v].calibrated([rows[i][v] for i in check]) for v in (0, 1)] + [np.ones(len(check))], axis=1)
     mix = np.array([1.0, 0.0, 0.0])
     for _ in range(50):
         p = sigmoid(z @ mix)
@@ -175,35 +177,102 @@ def co_train(text_rows: list, meta_rows: list, labels: list[int | None], folds:
     return Model(done[0], done[1], mix)
 
 
-_SAMPLE = "doc_id long, ti array<int>, tv array<double>, mi array<int>, mv array<double>"
+def _fold(i: int) -> int:
+    return zlib.crc32(f"fold{i}".encode()) % 4
+
+
+_SAMPLE = "doc_id long, ti array<int>, tv array<float>, mi array<int>"
+_SAMPLE_KINDS = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int32()))
+
+
+def _with_views(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the metadata columns; those that docs hasn't are null."""
+    kinds = {"source": "string", "lang": "string", "n_chars": "long"}
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *((F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        meta = [meta_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
-        text = text_view(batch.column("text").to_pylist())
-        cols = [[x[0] for x in text], [x[1] for x in text], [x[0] for x in meta], [x[1] for x in meta]]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int32()), pa.list_(pa.float64())) * 2, strict=True))], names=["doc_id", "ti", "tv", "mi", "mv"])
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            meta = [meta_view(*x) for x in zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+            text = text_view(part.column("text").to_pylist())
+            cols = [part.column("doc_id").to_pylist(), [x[0] for x in text], [x[1] for x in text], [x[0] for x in meta]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SAMPLE_KINDS, strict=True)], names=["doc_id", "ti", "tv", "mi"])
+
 
+def _sums(weights: np.ndarray, index: pa.Array, value: pa.Array | None) -> np.ndarray:
+    """Logits of rows of feature lists, of which none is empty."""
+    flat = weights[index.flatten().to_numpy(zero_copy_only=False)]
+    if value is not None:
+        flat = flat * value.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(index.value_lengths().to_numpy(zero_copy_only=False))
+    return np.add.reduceat(flat, np.r_[0, ends[:-1]])
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Fit on labels(doc_id, quality) of documents outside the held-out third."""
+
+def _surest_of(weights: list[np.ndarray], known: list[set], up: int, down: int):
+    """Each task's surest documents by view and label; ties by id."""
+    names = ["view", "label", "z", "doc_id", "ti", "tv", "mi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple]] = {(v, y): [] for v in (0, 1) for y in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            scores = (_sums(weights[0], batch.column("ti"), batch.column("tv")), _sums(weights[1], batch.column("mi"), None))
+            for (v, y), kept in best.items():
+                z, most = (scores[v], up) if y else (-scores[v], down)
+                for k in np.lexsort((docs, -z)).tolist():
+                    if z[k] <= 1 or len(kept) >= most and (-z[k], docs[k]) > kept[most - 1][:2]:
+                        break
+                    if int(docs[k]) not in known[v]:
+                        kept.append((-float(z[k]), int(docs[k]), *(batch.column(c)[k].as_py() for c in ("ti", "tv", "mi"))))
+                kept.sort(key=lambda x: x[:2])
+                # rows of one id are alike to the next round
+                seen: set[int] = set()
+                kept[:] = [x for x in kept if not (x[1] in seen or seen.add(x[1]))][:most]
+        rows = [(v, y, *x) for (v, y), kept in best.items() for x in kept]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), *_SAMPLE_KINDS), strict=True)], names=names)
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model | None:
+    """Fit on labels(doc_id, quality) of documents outside the held-out third, and on what the views tell each other of all others."""
     spark = docs.sparkSession
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("co")), F.lit(1 << 40))
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = {r["doc_id"]: int(r["quality"]) for r in usable.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", place.alias("place")).orderBy("place", "doc_id", "quality").limit(labelled).collect()}
+    chosen: dict[int, int] = {}
+    for r in usable.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", place.alias("place")).orderBy("place", "doc_id", "quality").limit(labelled).collect():
+        chosen.setdefault(r["doc_id"], int(r["quality"]))
     if len(set(chosen.values())) < 2:
         return None
+    rows = cut(_with_views(docs.where(F.col("doc_id").isNotNull())).mapInArrow(lean(_views), _SAMPLE), "views")
+
+    def row_of(r) -> tuple[Row, Row]:
+        meta = np.array(r["mi"], dtype=np.int64)
+        return (np.array(r["ti"], dtype=np.int64), np.array(r["tv"])), (meta, np.ones(len(meta)))
+
+    def surest(weights: list[np.ndarray], known: list[set], up: int, down: int) -> list[tuple[int, int, int, Row, Row]]:
+        found = cut(rows.mapInArrow(lean(_surest_of(weights, known, up, down)), "view int, label int, z double, " + _SAMPLE), "surest")
+        out = []
+        for v in (0, 1):
+            for y, most in ((1, up), (0, down)):
+                # one id may come from several tasks
+                for r in found.where((F.col("view") == v) & (F.col("label") == y)).groupBy("doc_id").agg(F.min(F.struct("z", "ti", "tv", "mi")).alias("r")).select("doc_id", "r.*").orderBy("z", "doc_id").limit(most).collect():
+                    out.append((v, y, r["doc_id"], *row_of(r)))
+        drop_cut(found)
+        return out
+
     ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))  # at most `labelled` rows
-    rows = docs.where(F.col("doc_id").isNotNull())
-    bar = int(min(1.0, pool / max(1, docs.count())) * (1 << 40))
-    extra = rows.where(place < bar).orderBy(place, "doc_id").limit(2 * pool)
-    found = {}
-    for part in (rows.join(ids, "doc_id", "left_semi"), extra):
-        for r in part.mapInArrow(lean(_views), _SAMPLE).collect():
-            found.setdefault(r["doc_id"], ((np.array(r["ti"], dtype=np.int64), np.array(r["tv"])), (np.array(r["mi"], dtype=np.int64), np.array(r["mv"]))))
-    order = sorted(found)
-    return co_train([found[i][0] for i in order], [found[i][1] for i in order], [chosen.get(i) for i in order], [zlib.crc32(f"fold{i}".encode()) % 4 for i in order])
+    known: dict[int, tuple[Row, Row]] = {}
+    for r in rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("ti", "tv", "mi")).alias("r")).select("doc_id", "r.*").collect():
+        known[r["doc_id"]] = row_of(r)
+    model = co_train(known, chosen, surest, rounds, per_round)
+    drop_cut(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -211,8 +280,9 @@ def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) ->
 
     Defined results: null and blank texts score 0 and aren't kept; without labels
     of both classes there is no model and all other documents score 1; repeated
-    rows are scored one by one; other columns are ignored; an empty table gives
-    an empty table.
+    rows are scored one by one; source, lang or n_chars that aren't there are null;
+    other columns are ignored; a text of any length is read whole; an empty table
+    gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +298,7 @@ def score(docs: DataFrame, model: Model | None, keep_from: float = KEEP_FROM) ->
                     found = (np.ones(len(texts)),) * 3
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.where(blank, 0.0, f)) for f in found)], names=["doc_id", "score", "text_score", "meta_score"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    return own.mapInArrow(lean(run), "doc_id long, score double, text_score double, meta_score double").withColumn("kept", F.col("score") >= keep_from)
+    return _with_views(docs).mapInArrow(lean(run), "doc_id long, score double, text_score double, meta_score double").withColumn("kept", F.col("score") >= keep_from)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,16 +311,19 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that are kept; scored and filtered in one pass over their own rows.
 
     The model is op10's, of the whole table: docs may have lost all labels of a class.
+    Defined results: null and blank texts go; without labels of both classes all
+    others stay; source, lang or n_chars that docs hasn't are null; repeated rows
+    and further columns stay; an empty table gives an empty table.
     """
     model = learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     if model is None:
         return docs.where(F.length(F.trim("text")) > 0)
-    at = {c: docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")}
+    at = {c: docs.columns.index(c) for c in ("text", "source", "lang", "n_chars") if c in docs.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at["text"]).to_pylist()
-            meta = [meta_view(*x) for x in zip(*(batch.column(at[c]).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+            meta = [meta_view(*x) for x in zip(*(batch.column(at[c]).to_pylist() if c in at else [None] * len(texts) for c in ("source", "lang", "n_chars")), strict=True)]
             blank = np.array([not t or not t.strip() for t in texts], dtype=bool)
             keep = (model.score(text_view(texts), meta)[0] >= KEEP_FROM) & ~blank if texts else np.zeros(0, dtype=bool)
             yield batch.filter(pa.array(keep))

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import _spark, cotraining, dedup, html_extract, mixing, packing, sharding
+from quire.llm import _spark, _text, cotraining, dedup, html_extract, mixing, packing, sharding
 from tests.llm.data import ROWS, documents, edge, empty, words
 
 # near duplicates
@@ -189,6 +189,8 @@ def test_mix_edges_and_shards(spark, sf_dir):
     sized = documents(spark, sf_dir).select("doc_id", "source", F.length("text").alias("size"))
     many = mixing.mix(sized, shard_words=5000).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("s")).collect()
     assert all(abs(r["t"] - r["n"]) <= mixing.BLOCK * (2 + r["s"] // 5000) for r in many)
+    few = mixing.mix(sized, shard_words=50, most_shards=4).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()
+    assert all(abs(r["t"] - r["n"]) <= mixing.BLOCK * 8 for r in few)
     staged = mixing.mix_stage(spark, edge(spark), "")
     assert staged.columns == edge(spark).columns
 
@@ -472,6 +474,53 @@ def test_classifier_tells_held_out_labels(spark):
     assert found.count() == documents(spark, sf_dir).count()
 
 
+def slow_views(r):
+    """A document's two views, word by word."""
+    text, out = r["text"] or "", {}
+    own = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words(text)]
+    hashes = [int(_text.token_hashes(np.array([ord(c) for c in w], dtype=np.uint32), np.array([0]))[0]) for w in own]
+    for h in hashes:
+        out[h % cotraining.WORDS] = out.get(h % cotraining.WORDS, 0) + 1
+    norm = math.sqrt(sum(out.values())) or 1
+    n, joined = max(1, len(own)), "".join(own)
+    solid = len(joined)
+    letters = sum("a" <= c <= "z" or ord(c) > 127 for c in joined)
+    digits = sum("0" <= c <= "9" for c in joined)
+    symbols = sum(ord(c) < 128 for c in joined) - digits - sum("a" <= c <= "z" for c in joined)
+    pairs = len(set(zip(own, own[1:]))) if len(own) > 1 else 1
+    shape = [1, math.log1p(len(own)) / 8, solid / n / 8, letters / max(1, solid), digits / max(1, solid), symbols / max(1, solid), sum("A" <= c <= "Z" for c in text) / n, len(set(own)) / n, pairs / max(1, n - 1), text.count("\n") / n, len(own) < 50, symbols > 0.1 * solid]
+    out = {k: math.sqrt(c) / norm for k, c in out.items()}
+    return out | {cotraining.WORDS + k: float(x) for k, x in enumerate(shape)}, cotraining.meta_view(r["source"], r["lang"], r["n_chars"])[0]
+
+
+def test_scores_equal_a_slow_twin(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = cotraining.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = {r["doc_id"]: r["score"] for r in cotraining.score(docs, model).collect()}
+    for r in docs.collect():
+        text, meta = slow_views(r)
+        zt = model.text.scale * sum(model.text.weights[k] * x for k, x in text.items()) + model.text.shift
+        zm = model.meta.scale * sum(model.meta.weights[k] for k in meta) + model.meta.shift
+        want = 1 / (1 + math.exp(-(model.mix[0] * zt + model.mix[1] * zm + model.mix[2]))) if words(r["text"]) else 0.0
+        assert abs(found[r["doc_id"]] - want) < 1e-6
+
+
+def test_rounds_take_the_surest_of_all_documents(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(0, 3, cotraining.WORDS + cotraining.SHAPES), rng.normal(0, 1, cotraining.META)]
+    known = [set(range(0, 50)), set(range(100, 120))]
+    rows = cotraining._with_views(docs).repartition(5).mapInArrow(cotraining._views, cotraining._SAMPLE)
+    found = rows.mapInArrow(cotraining._surest_of(weights, known, 12, 5), "view int, label int, z double, " + cotraining._SAMPLE).collect()
+    z = {r["doc_id"]: [sum(weights[0][k] * x for k, x in text.items()), sum(weights[1][k] for k in meta)] for r in docs.collect() for text, meta in [slow_views(r)]}
+    for v in (0, 1):
+        for y, most in ((1, 12), (0, 5)):
+            sign = 1 if y else -1
+            want = sorted((i for i in z if i not in known[v] and sign * z[i][v] > 1), key=lambda i: (-sign * z[i][v], i))[:most]
+            got = [r["doc_id"] for r in sorted((r for r in found if (r["view"], r["label"]) == (v, y)), key=lambda r: (r["z"], r["doc_id"]))][:most]
+            assert [round(z[i][v], 3) for i in got] == [round(z[i][v], 3) for i in want]
+
+
 def test_classifier_edges(spark):
     docs = edge(spark)
     labels = spark.createDataFrame([(1, 1), (5, 0), (9, None), (None, 1), (6, 1), (7, 0), (10, 1)], "doc_id long, quality int")
@@ -481,3 +530,5 @@ def test_classifier_edges(spark):
     assert cotraining.learn(docs, labels.limit(0)) is None
     assert {r["score"] for r in cotraining.score(docs, None).where("doc_id = 1").collect()} == {1.0}
     assert cotraining.score(empty(spark), None).count() == 0
+    bare = cotraining.score(docs.select("doc_id", "text"), model).count()
+    assert bare == 11
