@@ -10,7 +10,7 @@ _TABLE = {
     "op2_minhash_dedup": ("dedup", None),
     "op3_mixing": ("mixing", "ORACLE"),
     "op4_best_fit_packing": ("packing", None),
-    "op5_sharding": ("sharding", None),
+    "op5_sharding": ("sharding", "ORACLE"),
     "op6_quality_rules": ("quality_rules", "ORACLE"),
     "op7_token_counts": ("bpe", None),
     "op8_html_extraction": ("html_extract", None),

@@ -108,3 +108,35 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _descent(node: Node, key: str) -> str:
+    """The shard that a key descends to, as SQL."""
+    if not node.children:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _descent(node.children[0], key)
+    draws = [f"-ln((('0x' || substr(md5({key} || '|{c.name}'), 1, 13))::BIGINT + 0.5) / {2**52}.0) / {float(c.load())}" for c in node.children]
+    ways = " ".join(f"WHEN {k + 1} THEN {_descent(c, key)}" for k, c in enumerate(node.children))
+    return f"CASE list_position([{', '.join(draws)}], list_min([{', '.join(draws)}])) {ways} END"
+
+
+# bytes of a text are pairs of its hex digits; the checksum is folded over them with the table of the reversed polynomial
+ORACLE = f"""
+WITH steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','), lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT) AS bytes,
+         coalesce(doc_id::VARCHAR, '?') AS key
+  FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32,
+         {_descent(tree(16), "key")} AS shard, {_descent(tree(17), "key")} AS grown_shard
+  FROM d, steps
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard
+FROM c
+"""
