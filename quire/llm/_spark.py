@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; without one there is no safe place for cuts."""
+    """The folder that driver and executors share. Where none is named, a local master gets one of its own; a cluster must name it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
