@@ -42,7 +42,7 @@ def convert_paths(spark: SparkSession, paths: Sequence[str], options: Options |
     docs = S.read_texts(spark, *paths).withColumn("doc_id", F.col("path"))
     if others:
         docs = S.with_files(docs, S.read_texts(spark, *others).select("path", "content"))
-    return K.convert(docs, frontmatter=(options or Options()).frontmatter)
+    return K.convert(docs, frontmatter=(options or Options()).frontmatter, search=S.search_roots())
 
 
 def run(documents: DataFrame, options: Options | None = None, many: bool = True) -> Run:

@@ -42,11 +42,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         docs = S.one_text(spark, sys.stdin.read())
         found = {}
     else:
-        # Files on this machine: at most what the command line names, with all that lies beside them.
+        # Files on this machine: at most what the command line names, with all that lies beside them or where TEXINPUTS points.
         missing = [p for p in inputs if not Path(p).is_file()]
         rows = [(p, Path(p).read_text(encoding="utf-8"), str(Path(p).parent)) for p in inputs if p not in missing]
         docs = spark.createDataFrame(rows, "path string, content string, base_dir string")
-        beside = {q for p in inputs for q in Path(p).parent.rglob("*") if q.suffix in (".tex", ".bib") and q.is_file()}
+        places = [Path(p).parent for p in inputs] + [Path(r) for r in S.search_roots()[1:]]
+        beside = {q for place in places for q in place.rglob("*") if q.suffix in (".tex", ".bib") and q.is_file()}
         found = {str(q): q.read_text(encoding="utf-8", errors="replace") for q in sorted(beside)}
         for p in missing:
             print(f"error: {p}: Failed to read input file: {p}", file=sys.stderr)
@@ -63,7 +64,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     out = args.output
     if out and out != "-" and Path(out).is_dir():
         out += "/"
-    converted = K.convert(docs, frontmatter=not args.no_frontmatter).persist()
+    converted = K.convert(docs, frontmatter=not args.no_frontmatter, search=S.search_roots()).persist()
     options = api.Options(out, args.force, not args.no_frontmatter, args.check, args.strict)
     try:
         done = api.run(converted, options, many or bool(out and out.endswith("/")))

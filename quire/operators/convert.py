@@ -158,14 +158,14 @@ def exploded(docs: DataFrame, facet: Column, *keep: str) -> DataFrame:
     return docs.select(*keep, facet.alias("_facet")).select(*keep, F.inline("_facet"))
 
 
-def convert(docs: DataFrame, content: str = "content", *, frontmatter: bool = True, today: date | None = None) -> DataFrame:
-    """Documents with markdown, error, warnings and stats.
+def convert(docs: DataFrame, content: str = "content", *, frontmatter: bool = True, today: date | None = None, search: tuple[str, ...] = (".",)) -> DataFrame:
+    """Documents with markdown, error, warnings and stats. `search` has the places where names of files are looked for.
 
     `base_dir` and `files_json`, where docs has them (see sources.with_files),
     let documents include and cite files.
     """
     base = F.col("base_dir") if "base_dir" in docs.columns else None
     files = F.col("files_json") if "files_json" in docs.columns else None
-    found = converted(content, base, files, frontmatter=frontmatter, settings=Settings(today=today))
+    found = converted(content, base, files, frontmatter=frontmatter, settings=Settings(today=today, search=search))
     kept = [c for c in docs.columns if c not in ("files_json", "markdown", "error", "warnings", "metadata", "bibliography", "stats", "_facet")]
     return docs.select(*kept, found.alias("_facet")).select(*kept, "_facet.*")

@@ -398,3 +398,37 @@ def includes_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, files = _include_tree(spark, sf_dir)
     found = K.convert(S.with_files(docs, files, "n_regionkey"))
     return found.select("n_regionkey", "markdown", F.size("warnings").cast("long").alias("skipped"))
+
+
+def _deep_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations include a file that all share and begin a chain of 30 files; the last names a file of a listed folder."""
+    nations = table(spark, sf_dir, "nation")
+    start = tex("\\graphicspath{{g/}}\\graphicspath{{./pics/}{more/}}\n\\input{shared}\n\\include{c", F.col("n_nationkey") % 5, "/f0}\n")
+    docs = nations.select("n_nationkey", start.alias("content"), F.lit("top").alias("base_dir"))
+    steps = spark.range(0, 5).select(F.col("id").alias("chain"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("at"))
+    step = F.col("at")
+    below = F.when(step == 29, F.lit("\\input{leaf}")).otherwise(tex("\\input{f", step + 1, "}"))
+    chain = steps.select(tex("top/c", F.col("chain"), "/f", step, ".tex").alias("path"), tex("F", step, "\n\n", below, "\n").alias("content"))
+    rows = [("top/shared.tex", "\\newcommand{\\all}{All}\n"), ("more/leaf.tex", "\\all\\ of it")]
+    return docs, chain.unionByName(spark.createDataFrame(rows, "path string, content string"))
+
+
+@query(r"""
+SELECT n_nationkey, path, CAST(depth AS BIGINT) AS depth FROM (
+  SELECT n_nationkey, 'top/shared.tex' AS path, 1 AS depth FROM nation
+  UNION ALL SELECT n_nationkey, 'top/c' || n_nationkey % 5 || '/f' || i || '.tex', i + 1 FROM nation, range(30) r(i)
+  UNION ALL SELECT n_nationkey, 'more/leaf.tex', 31 FROM nation)
+""")
+def includes_reached_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files at any depth, and those that only a listed folder leads to."""
+    docs, files = _deep_tree(spark, sf_dir)
+    return S.reachable(docs, files, "n_nationkey", (".",)).select("n_nationkey", "path", F.col("depth").cast("long").alias("depth"))
+
+
+@query(r"""
+SELECT n_nationkey, string_agg('F' || i || chr(10) || chr(10), '' ORDER BY i) || 'All of it' || chr(10) || chr(10) AS markdown FROM nation, range(30) r(i) GROUP BY 1
+""")
+def includes_converted_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, files = _deep_tree(spark, sf_dir)
+    found = K.convert(S.with_files(docs, files, "n_nationkey", (".",)))
+    return found.select("n_nationkey", "markdown")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Includes deeper than this are not followed; each level costs one join.
-MAX_DEPTH = 10
+from quire.sources.shared import Cut, spread_join
+
+#: Levels that are read as tables of their own before they become one.
+PIECES = 8
 
 _NAMES = r"\\(?:input|include)\{([^}]*)\}"
 _BIBLIOGRAPHIES = r"\\(?:bibliography|addbibresource)\{([^}]*)\}"
@@ -41,55 +45,119 @@ def normal(path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
-def _candidates(content: Column, base: Column) -> Column:
-    """All paths that a text's includes and bibliographies may mean."""
-    names = F.transform(F.regexp_extract_all(content, F.lit(_NAMES), F.lit(1)), lambda n: F.struct(n.alias("name"), F.lit(".tex").alias("ending")))
+def search_roots(value: str | None = None) -> tuple[str, ...]:
+    """Where names are looked for besides a text's own folder: here, and the places that TEXINPUTS (or the given value) lists."""
+    listed = os.environ.get("TEXINPUTS", "") if value is None else value
+    return (".", *dict.fromkeys(p for p in listed.split(":") if p not in ("", ".")))
+
+
+def _names(content: Column) -> Column:
+    """All that a text's includes and bibliographies name, with and without the usual ending."""
+    names = F.transform(F.regexp_extract_all(content, F.lit(_NAMES), F.lit(1)), lambda n: F.array(n, F.concat(n, F.lit(".tex"))))
     specs = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(_BIBLIOGRAPHIES), F.lit(1)), lambda s: F.split(s, ",")))
-    names = F.concat(names, F.transform(specs, lambda n: F.struct(F.trim(n).alias("name"), F.lit(".bib").alias("ending"))))
-    places = F.concat(F.array(F.coalesce(base, F.lit("")), F.lit("")), F.regexp_extract_all(F.regexp_extract(content, _GRAPHICS, 1), F.lit(r"\{([^}]*)\}"), F.lit(1)))
-    both = F.transform(names, lambda n: F.transform(F.array(n["name"], F.concat(n["name"], n["ending"])), lambda c: F.transform(places, lambda p: normal(F.when(c.startswith("/") | (p == ""), c).otherwise(F.concat_ws("/", p, c))))))
-    return F.array_distinct(F.flatten(F.flatten(both)))
+    specs = F.transform(specs, lambda n: F.array(F.trim(n), F.concat(F.trim(n), F.lit(".bib"))))
+    return F.array_distinct(F.filter(F.flatten(F.concat(names, specs)), lambda n: ~n.isin("", ".tex", ".bib")))
+
 
+def _graphics(content: Column) -> Column:
+    """The folders of all \\graphicspath commands of a text; names are looked for there too."""
+    groups = F.transform(F.regexp_extract_all(content, F.lit(_GRAPHICS), F.lit(1)), lambda g: F.regexp_extract_all(g, F.lit(r"\{([^}]*)\}"), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(F.flatten(groups), lambda p: F.trim(p)), lambda p: p != ""))
 
-def include_edges(texts: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
-    """key, child: which of the files each text names, by any of its candidate paths.
 
-    texts: key, content, base_dir. files: path, content. An equi-join on paths;
-    neither side is broadcast by name.
+def _placed(name: Column, place: Column) -> Column:
+    return normal(F.when(name.startswith("/") | (place == ""), name).otherwise(F.concat_ws("/", place, name)))
+
+
+def include_edges(texts: DataFrame, paths: DataFrame, key: str = "path", roots: tuple[str, ...] = (".",)) -> DataFrame:
+    """key, child: which of the paths each text names from its own folder or the roots.
+
+    texts: key, content, base_dir. paths: a written table of `path`. Contents are
+    read here and go no further; an equi-join on paths, hot ones spread.
     """
-    named = texts.select(key, F.explode(_candidates(F.col("content"), F.col("base_dir"))).alias("child"))
-    return named.join(files.select(F.col("path").alias("child"), F.col("content").alias("_text")), "child")
+    places = F.array(F.coalesce("base_dir", F.lit("")), *map(F.lit, roots))
+    found = F.array_distinct(F.flatten(F.transform(_names(F.col("content")), lambda n: F.transform(places, lambda p: _placed(n, p)))))
+    named = Cut(texts.select(key, F.explode(found).alias("child")), "named")
+    edges = Cut(spread_join(named.table, paths.select(F.col("path").alias("child")), "child", F.col(key)), "edges")
+    named.drop()
+    return edges.table
+
 
+def reachable(docs: DataFrame, files: DataFrame, doc: str = "doc_id", roots: tuple[str, ...] | None = None) -> DataFrame:
+    """doc, path, depth: the files that documents reach, once each, at their least depth, however deep.
 
-def reachable(docs: DataFrame, files: DataFrame, doc: str = "doc_id", depth: int = MAX_DEPTH) -> DataFrame:
-    """doc, path, content, depth: the files that documents reach, once each, at their least depth.
+    Which text names which file is found once for each text. Then a breadth-first
+    search goes on, a level a round, until no document reaches anything new; a
+    round joins paths only and begins from a written table, so plans don't grow
+    with depth. Folders that a document's texts list for graphics are searched for
+    all names of that document.
 
-    Breadth first, one join a level, until no document reaches anything new.
+    Defined results: null contents name nothing; a null base folder is the current
+    one; of files with one path one is taken; no files or documents give no rows.
     """
-    if doc in ("path", "content", "base_dir", "depth", "child"):
+    if doc in ("path", "content", "base_dir", "depth", "child", "place", "name"):
         raise ValueError(f"documents need a key of another name than {doc}")
-    front = docs.select(doc, F.col("content"), F.col("base_dir"))
-    found: DataFrame | None = None
-    for level in range(1, depth + 1):
-        step = include_edges(front, files, doc).groupBy(doc, F.col("child").alias("path")).agg(F.first("_text").alias("content"))
-        if found is not None:
-            step = step.join(found.select(doc, "path"), [doc, "path"], "left_anti")
-        step = step.withColumn("depth", F.lit(level)).persist()
-        if step.isEmpty():
-            step.unpersist()
-            break
-        found = step if found is None else found.unionByName(step)
-        front = step.select(doc, "content", parent("path").alias("base_dir"))
-    if found is None:
-        return docs.select(doc, F.lit("").alias("path"), F.lit("").alias("content"), F.lit(0).alias("depth")).limit(0)
-    return found
-
-
-def with_files(docs: DataFrame, files: DataFrame, doc: str = "doc_id", depth: int = MAX_DEPTH) -> DataFrame:
+    roots = search_roots() if roots is None else roots
+    files = files.select("path", "content").withColumn("base_dir", parent("path"))
+    paths = Cut(files.select("path").distinct(), "paths").table
+    edges = include_edges(files, paths, "path", roots)
+    # a row for each file that names or lists something, bounded by the file itself
+    children = edges.groupBy("path").agg(F.collect_list("child").alias("children"))
+    told = files.select("path", _names(F.col("content")).alias("names"), _graphics(F.col("content")).alias("places")).join(children, "path", "left")
+    told = Cut(told.where((F.size("names") > 0) | (F.size("places") > 0)), "told").table
+    own = Cut(docs.select(doc, _names(F.col("content")).alias("names"), _graphics(F.col("content")).alias("places")), "own").table
+    # names are looked for in the folders that documents list; texts of files may list more of them
+    places = Cut(own.select(doc, F.explode("places").alias("place")).distinct(), "places")
+    files_list = not told.where(F.size("places") > 0).isEmpty()
+    listing = files_list or not places.table.isEmpty()
+
+    def listed(texts: DataFrame, folders: DataFrame) -> DataFrame:
+        wanted = texts.select(doc, F.explode("names").alias("name")).join(folders, doc)
+        return wanted.select(doc, _placed(F.col("name"), F.col("place")).alias("path")).join(paths, "path", "left_semi").select(doc, "path")
+
+    step = include_edges(docs.select(doc, "content", "base_dir"), paths, doc, roots).select(doc, F.col("child").alias("path"))
+    texts, pieces, total, level = own, [], 0, 0
+    while True:
+        level += 1
+        if pieces:
+            texts = spread_join(pieces[-1].table.select(doc, "path"), told, "path", F.col(doc), total)
+            step = texts.select(doc, F.explode("children").alias("path"))
+            if files_list:
+                more = Cut(texts.select(doc, F.explode("places").alias("place")).distinct().join(places.table, [doc, "place"], "left_anti"), "more")
+                if not more.table.isEmpty():
+                    # what has been read before may name files there too
+                    read = own.select(doc, "names").unionByName(spread_join(_all(pieces).select(doc, "path"), told, "path", F.col(doc)).select(doc, "names"))
+                    step = step.unionByName(listed(read, more.table))
+                    places = Cut(places.table.unionByName(more.table), "places")
+        if listing:
+            step = step.unionByName(listed(texts, places.table))
+        step = step.distinct()
+        front = Cut((step.join(_all(pieces).select(doc, "path"), [doc, "path"], "left_anti") if pieces else step).withColumn("depth", F.lit(level)), "front")
+        total = front.table.count()
+        if not total:
+            return _all(pieces, front)
+        if len(pieces) >= PIECES:
+            old, pieces = pieces, [Cut(_all(pieces), "found")]
+            for cut in old:
+                cut.drop()
+        pieces.append(front)
+
+
+def _all(pieces: list[Cut], last: Cut | None = None) -> DataFrame:
+    out, *others = [p.table for p in pieces] + ([] if last is None else [last.table])
+    for table in others:
+        out = out.unionByName(table)
+    return out
+
+
+def with_files(docs: DataFrame, files: DataFrame, doc: str = "doc_id", roots: tuple[str, ...] | None = None) -> DataFrame:
     """Documents with `files_json`, the files that each reaches as a JSON object by path (null for none).
 
-    What a document gathers is bounded by its own includes, as it would be when
-    it is read. Names that only a macro's expansion spells out are not found.
+    Contents are joined at the end, once for each document that reads them. What a
+    document gathers is bounded by its own includes, as it would be when it is
+    read. Names that only a macro's expansion spells out are not found.
     """
-    gathered = reachable(docs, files, doc, depth).groupBy(doc).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "content")))).alias("files_json"))
+    found = reachable(docs, files, doc, roots)
+    whole = spread_join(found.select(doc, "path"), files.select("path", "content").dropDuplicates(["path"]), "path", F.col(doc))
+    gathered = whole.groupBy(doc).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "content"))))).alias("files_json"))
     return docs.join(gathered, doc, "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +30,37 @@ def write_table(converted: DataFrame, path: str, force: bool = False) -> None:
 
 
 def write_markdown(converted: DataFrame, force: bool = False) -> None:
-    """One file for each `target`, written where the executors see the folder.
+    """One file for each `target`, through Hadoop's file systems, so a path means the same from everywhere.
 
-    A file that exists is an error without `force`. Writing again after a lost
-    executor gives the same files, as each goes to a temporary name first.
+    A file that exists with another text is an error without `force`. Each goes to
+    a temporary name first, so writing again after a failure gives the same files.
+    Documents stream through the driver, a partition at a time; write_table is the
+    way for very many.
     """
+    sc = converted.sparkSession.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    rows = converted.where(F.col("target").isNotNull() & F.col("markdown").isNotNull()).select("target", F.encode("markdown", "utf-8").alias("bytes"))
+    for row in rows.toLocalIterator():
+        target, data = jvm.org.apache.hadoop.fs.Path(row["target"]), bytes(row["bytes"])
+        fs = target.getFileSystem(conf)
+        if fs.exists(target) and not force and not _holds(jvm, fs, target, data):
+            raise FileExistsError(f"Output file already exists: {row['target']}. Use force to overwrite.")
+        part = jvm.org.apache.hadoop.fs.Path(target.getParent() or jvm.org.apache.hadoop.fs.Path("."), f".{target.getName()}.part")
+        out = fs.create(part, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"could not write {row['target']}")
+
 
-    def write(rows: object) -> None:
-        for row in rows:
-            target = Path(row["target"].removeprefix("file:"))
-            if target.exists() and not force and target.read_text(encoding="utf-8") != row["markdown"]:
-                raise FileExistsError(f"Output file already exists: {target}. Use force to overwrite.")
-            target.parent.mkdir(parents=True, exist_ok=True)
-            part = target.with_name(f".{target.name}.part")
-            part.write_text(row["markdown"], encoding="utf-8")
-            part.replace(target)
-
-    converted.where(F.col("target").isNotNull() & F.col("markdown").isNotNull()).select("target", "markdown").foreachPartition(write)
+def _holds(jvm: object, fs: object, path: object, data: bytes) -> bool:
+    if fs.getFileStatus(path).getLen() != len(data):
+        return False
+    stream = fs.open(path)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)) == data
+    finally:
+        stream.close()
