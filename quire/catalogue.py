@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import reference_queries, text_queries  # noqa: F401  (they register themselves)
+from quire.plans import reference_queries, structure_queries, text_queries  # noqa: F401  (they register themselves)
 from quire.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

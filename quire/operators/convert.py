@@ -11,11 +11,13 @@ Markdown and no rows in other facets; the others go on.
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +28,22 @@ from quire.kernel.reader import Settings
 from quire.operators import schema
 
 
-def _rows_of_tokens(source: str | None) -> list[dict]:
-    out = []
-    try:
-        tokens = scanner.scan(source or "")
-    except scanner.UnbalancedBraces:
-        return out
-    for pos, (kind, text, aux) in enumerate(tokens):
-        level = aux if isinstance(aux, int) else None
-        out.append({"pos": pos, "kind": kind, "text": text or scanner.PLAIN.get(kind, ""), "aux": None if level is not None else aux, "level": level})
-    return out
+def _columns_of_tokens(sources: Iterable[str | None]) -> pa.Array:
+    """Lists of tokens, built as flat columns and offsets: no object for each token's row."""
+    offsets, kinds, texts, auxes, levels = [0], [], [], [], []
+    for source in sources:
+        with contextlib.suppress(scanner.UnbalancedBraces):
+            for kind, text, aux in scanner.scan(source or ""):
+                kinds.append(kind)
+                texts.append(text or scanner.PLAIN.get(kind, ""))
+                numbered = isinstance(aux, int)
+                auxes.append(None if numbered else aux)
+                levels.append(aux if numbered else None)
+        offsets.append(len(kinds))
+    ends = np.array(offsets, dtype=np.int32)
+    places = np.arange(len(kinds), dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends))
+    columns = [pa.array(places), pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(auxes, pa.string()), pa.array(levels, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(schema.TOKEN)))
 
 
 class _Flat:
@@ -124,6 +132,11 @@ def to_markdown(source: Column | str, *, frontmatter: bool = True, settings: Set
     return _facet(lambda r: r.markdown(frontmatter), pa.string(), source, None, None, settings)
 
 
+def stats(source: Column | str, *, settings: Settings | None = None) -> Column:
+    """The counts of a document's blocks and inlines, without its Markdown; zeros where it can't be read."""
+    return _facet(lambda r: r.stats(), schema.STATISTICS, source, None, None, settings)
+
+
 def events(source: Column | str, base: Column | None = None, files: Column | None = None, *, settings: Settings | None = None) -> Column:
     """All that was defined, numbered, referred to or cited, in the order of reading."""
     return _facet(_events, pa.list_(schema.EVENT), source, base, files, settings)
@@ -144,7 +157,7 @@ def cells(source: Column | str, *, settings: Settings | None = None) -> Column:
 @F.arrow_udf(schema.spark_type(pa.list_(schema.TOKEN)))
 def tokens(source: pa.Array) -> pa.Array:
     """Tokens with their positions."""
-    return pa.array([_rows_of_tokens(s) for s in source.to_pylist()], type=pa.list_(schema.TOKEN))
+    return _columns_of_tokens(source.to_pylist())
 
 
 @F.arrow_udf(schema.spark_type(pa.list_(schema.ENTRY)))
@@ -153,6 +166,12 @@ def bibtex_entries(source: pa.Array) -> pa.Array:
     return pa.array([_entries(bibtex.parse(s or "")) for s in source.to_pylist()], type=pa.list_(schema.ENTRY))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The same documents, dealt to all cores if their input has fewer splits than there are: what Python does to them costs more than the exchange."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def exploded(docs: DataFrame, facet: Column, *keep: str) -> DataFrame:
     """A facet's rows beside the kept columns."""
     return docs.select(*keep, facet.alias("_facet")).select(*keep, F.inline("_facet"))

@@ -48,22 +48,27 @@ def last_labels(labels: DataFrame, doc: str = "doc_id") -> DataFrame:
     return labels.groupBy(doc, "label").agg(F.max_by(F.struct("kind", "number", "title"), "pos").alias("_l")).select(doc, "label", "_l.*")
 
 
-def resolve_references(refs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """References with `shown`: by the last definition before them, else by the last of all; null if there is none.
+def references_of_events(events: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """References of an event stream (doc, pos, event, kind, label, number, title) with `shown`; the stream is read once.
 
-    refs: doc, pos, command, label. labels: doc, pos, label, kind, number,
-    title. The definition in force is carried along the label's own events, so
-    a label used a thousand times costs a sort and not a product.
+    A reference shows the last definition before it, else the last of all; null if
+    there is none. The definition in force is carried along the label's own events,
+    so a label used a thousand times costs a sort and not a product.
     """
-    info = F.struct("kind", "number", "title")
-    events = refs.select(doc, "pos", "label", "command", F.lit(None).cast(labels.select(info.alias("i")).schema["i"].dataType).alias("_d")).unionByName(
-        labels.select(doc, "pos", "label", F.lit(None).cast("string").alias("command"), info.alias("_d"))
-    )
+    own = events.where("event IN ('ref', 'label')")
     key = Window.partitionBy(doc, "label")
+    own = own.select(doc, "pos", "label", "kind", F.when(F.col("event") == "label", F.struct("kind", "number", "title")).alias("_d"))
     before = F.last("_d", ignorenulls=True).over(key.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     final = F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("pos"))).over(key)
-    found = events.withColumn("_f", F.coalesce(before, final)).where(F.col("command").isNotNull())
-    return found.select(doc, "pos", "command", "label", C.shown_reference("command", "_f.kind", "_f.number", "_f.title", "label").alias("shown"))
+    found = own.withColumn("_f", F.coalesce(before, final)).where(F.col("_d").isNull())
+    return found.select(doc, "pos", F.col("kind").alias("command"), "label", C.shown_reference("kind", "_f.kind", "_f.number", "_f.title", "label").alias("shown"))
+
+
+def resolve_references(refs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The same from two tables. refs: doc, pos, command, label. labels: doc, pos, label, kind, number, title."""
+    none = F.lit(None).cast("string")
+    one = refs.select(doc, "pos", F.lit("ref").alias("event"), F.col("command").alias("kind"), "label", none.alias("number"), none.alias("title"))
+    return references_of_events(one.unionByName(labels.select(doc, "pos", F.lit("label").alias("event"), "kind", "label", "number", "title")), doc)
 
 
 def unresolved_references(refs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -128,10 +133,15 @@ def table_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     cells: keys, row (0 is the head), col, align, text. Widths are maxima by
     column, at least 3; a row without some cell gets an empty one.
     """
-    by_column = cells.groupBy(*keys, "col").agg(F.greatest(F.lit(3), F.max(F.char_length("text"))).alias("w"), F.max("align").alias("a"))
-    columns = by_column.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("col", "w", "a"))).alias("_c"))
-    rows = cells.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_t"))
-    both = rows.join(columns, keys)
+    # a table's cells come together once; layout is made of arrays within the row, bounded by the table itself
+    tables = cells.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "align", "text")).alias("_all"))
+    numbers = F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["col"])))
+    of = lambda n: F.filter("_all", lambda x: x["col"] == n)
+    width = lambda n: F.greatest(F.lit(3), F.array_max(F.transform(of(n), lambda x: F.char_length(x["text"]))))
+    tables = tables.withColumn("_c", F.transform(numbers, lambda n: F.struct(n.alias("col"), width(n).alias("w"), F.array_max(F.transform(of(n), lambda x: x["align"])).alias("a"))))
+    tables = tables.withColumn("row", F.explode(F.array_distinct(F.transform("_all", lambda x: x["row"]))))
+    own = F.filter("_all", lambda x: x["row"] == F.col("row"))
+    both = tables.withColumn("_t", F.map_from_entries(F.transform(own, lambda x: F.struct(x["col"], x["text"]))))
     line = F.array_join(F.transform("_c", lambda c: C.padded(F.coalesce(F.try_element_at(F.col("_t"), c["col"]), F.lit("")), c["w"], c["a"])), " | ")
     rule = F.array_join(F.transform("_c", lambda c: C.bar(c["w"], c["a"])), "|")
     line = F.concat(F.lit("| "), line, F.lit(" |"))

@@ -130,9 +130,7 @@ UNION ALL SELECT o_custkey, 'o' || o_orderkey, CASE WHEN o_orderstatus <> 'F' TH
 def references_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References beside the labels they name, by the relational pass; those without label stay."""
     found = K.exploded(_order_references(spark, sf_dir), K.events("content"), "o_custkey")
-    refs = found.where("event = 'ref'").select("o_custkey", "pos", F.col("kind").alias("command"), "label")
-    labels = found.where("event = 'label'").select("o_custkey", "pos", "label", "kind", "number", "title")
-    return passes.resolve_references(refs, labels, "o_custkey").select("o_custkey", "label", "shown")
+    return passes.references_of_events(found, "o_custkey").select("o_custkey", "label", "shown")
 
 
 @query(_REFERENCES)
@@ -146,8 +144,7 @@ def references_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, 'o' || o_orderkey AS label FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def references_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = K.exploded(_order_references(spark, sf_dir), K.events("content"), "o_custkey")
-    refs = found.where("event = 'ref'").select("o_custkey", "pos", "label")
-    return passes.unresolved_references(refs, found.where("event = 'label'"), "o_custkey").select("o_custkey", "label")
+    return passes.references_of_events(found, "o_custkey").where("shown IS NULL").select("o_custkey", "label")
 
 
 @query("""

@@ -20,7 +20,7 @@ _ESC = r"regexp_replace({}, '([*_`$])', '\\\1', 'g')"
 
 def _plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.translate(F.coalesce("text", F.lit("")), SPECIAL, HARMLESS)
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("content"))
+    return K.spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("content")))
 
 
 @query(r"""
@@ -80,9 +80,8 @@ SELECT doc_id, CAST(len(list_filter(regexp_split_to_array({_PLAIN}, '\n[ \t\r]*\
 FROM documents
 """)
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = K.converted("content")
-    docs = _plain_documents(spark, sf_dir).select("doc_id", found.alias("c"))
-    return docs.select("doc_id", F.col("c.stats.paragraphs").cast("long").alias("paragraphs"))
+    docs = _plain_documents(spark, sf_dir).select("doc_id", K.stats("content").alias("s"))
+    return docs.select("doc_id", F.col("s.paragraphs").cast("long").alias("paragraphs"))
 
 
 @query(rf"""
@@ -271,7 +270,8 @@ def layout_commands_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layout commands with their arguments between all words leave the text as it was."""
     clean = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), SPECIAL + "-", HARMLESS + "x"), r"\s+", " "))
     noisy = tex("\\noindent{}", F.replace(clean, F.lit(" "), F.lit("\\vspace*{1em} \\relax\\setlength{a}{b}\\hfill{}")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(K.to_markdown(noisy)).alias("markdown_md5"))
+    docs = K.spread(table(spark, sf_dir, "documents").select("doc_id", noisy.alias("content")))
+    return docs.select("doc_id", F.md5(K.to_markdown("content")).alias("markdown_md5"))
 
 
 @query(r"""
@@ -320,20 +320,11 @@ def yaml_and_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", C.yaml_scalar(value).alias("scalar"), C.metadata_value(meta).alias("cleaned"))
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f} KB', n_chars / 1024.0) END AS size,
-  source || '.md' AS name FROM documents WHERE n_chars < 1048576 AND n_chars IS NOT NULL AND source IS NOT NULL
-""")
-def sizes_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars < 1048576 AND n_chars IS NOT NULL AND source IS NOT NULL")
-    return docs.select("doc_id", C.human_bytes("n_chars").alias("size"), C.output_name(tex("in/", F.col("source"), ".tex")).alias("name"))
-
-
 @query(r"""
 SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN format('{:.1f} KB', n_chars / 1024.0) WHEN n_chars IS NOT NULL THEN format('{:.1f} MB', n_chars / 1048576.0) END AS size,
   source || '.md' AS name FROM documents
 """)
-def sizes_and_names_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sizes_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: long ones too, and null for a size or name that isn't known."""
     return table(spark, sf_dir, "documents").select("doc_id", C.human_bytes("n_chars").alias("size"), C.output_name(tex("in/", F.col("source"), ".tex")).alias("name"))
 
@@ -364,9 +355,9 @@ def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tex("\\begin{itemize}\\item $x_{", F.col("l_linenumber"), "}$\\end{itemize}\n")
     docs = gathered(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], part)
     content = tex("\\section{Order}\n\nText \\url{http://x}.\\footnote{Note.}\n\n", F.col("content"), "\\begin{verbatim}\ncode\n\\end{verbatim}\nEnd.")
-    docs = docs.select(F.col("l_orderkey").alias("o_orderkey"), K.converted(content).alias("c"))
+    docs = docs.select(F.col("l_orderkey").alias("o_orderkey"), K.stats(content).alias("s"))
     names = ("headings", "paragraphs", "lists", "code_blocks", "inline_math", "links", "footnotes")
-    return docs.select("o_orderkey", *(F.col(f"c.stats.{n}").cast("long").alias(n) for n in names))
+    return docs.select("o_orderkey", *(F.col(f"s.{n}").cast("long").alias(n) for n in names))
 
 
 @query(r"""
