@@ -8,7 +8,9 @@ stream holds each byte exactly and any JPEG decoder shows it. Frames are
 
 `read` parses the RIFF structure and the index, then each frame's JPEG markers
 and tables, and decodes all frames of a batch in step: one symbol of every
-frame per array operation.
+frame per array operation. Frames of other makers (textured, in colour, with
+restart markers, without Huffman tables) go through `jpeg`, one at a time; files
+without an index are walked chunk by chunk.
 
 `clips` finds shots by adaptive histogram differences: a cut is where the
 difference of two frames' histograms exceeds the mean of the differences around
@@ -29,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import jpeg
 from quire.llm._spark import lean, table
+from quire.llm.jpeg import MediaError
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -49,10 +53,6 @@ HEAD = b"\xff\xd8" + _DQT + _SOF + _DHT_DC + _DHT_AC + _SOS
 TAIL = b"\xff\xd9"
 
 
-class MediaError(ValueError):
-    """The bytes aren't what the format says."""
-
-
 def _code_table() -> tuple[np.ndarray, np.ndarray]:
     """Bits and their number for each difference -255..255: category, value, end of block."""
     codes, lens = np.zeros(511, dtype=np.uint32), np.zeros(511, dtype=np.int64)
@@ -119,28 +119,47 @@ def build_avi(frames: list[bytes]) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def parse_avi(data: bytes) -> tuple[list[bytes], int]:
-    """Frames in the order of the index, and microseconds per frame."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise MediaError("not a RIFF AVI file")
-    movie, index, micros, at = None, None, MS_PER_FRAME * 1000, 12
-    stop = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+def _chunks(data: bytes, at: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, place of the content, size) of the chunks of a stretch; the content of lists is walked too."""
     while at + 8 <= stop:
         kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movie = at + 8
-        elif kind == b"LIST" and data[at + 8 : at + 12] == b"hdrl" and data[at + 12 : at + 16] == b"avih":
-            micros = struct.unpack_from("<I", data, at + 20)[0]
+        if kind in (b"LIST", b"RIFF"):
+            yield data[at + 8 : at + 12], at + 8, size
+            at += 12
+        else:
+            yield kind, at + 8, size
+            at += 8 + size + (size & 1)
+
+
+def parse_avi(data: bytes, indexed: bool = False) -> tuple[list[bytes], int]:
+    """Frames in the order of the index, or of their chunks where there is none (an error if `indexed`), and microseconds per frame."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise MediaError("not a RIFF AVI file")
+    movie, index, micros = None, None, MS_PER_FRAME * 1000
+    found: list[tuple[int, int]] = []
+    for kind, at, size in _chunks(data, 12, len(data)):
+        if kind == b"movi":
+            movie = at if movie is None else movie
+        elif kind == b"avih" and size >= 4:
+            micros = struct.unpack_from("<I", data, at)[0]
         elif kind == b"idx1":
-            index = data[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
-    if movie is None or index is None:
-        raise MediaError("no movie or no index")
+            index = data[at : at + size]
+        elif movie is not None and kind[2:] in (b"dc", b"db"):
+            found.append((at, size))
+    if movie is None:
+        raise MediaError("no movie")
+    if index is None:
+        if indexed:
+            raise MediaError("no index")
+        if any(at + size > len(data) for at, size in found):
+            raise MediaError("a chunk that is cut off")
+        return [data[at : at + size] for at, size in found], micros
     frames = []
-    for kind, _, offset, size in struct.iter_unpack("<4sIII", index):
+    for kind, _, offset, size in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]):
         if kind[2:] not in (b"dc", b"db"):
             continue
-        p = movie + offset
+        # offsets count from the movie's list or, in some files, from the file's start
+        p = movie + offset if data[movie + offset : movie + offset + 4] == kind else offset
         if data[p : p + 4] != kind or struct.unpack_from("<I", data, p + 4)[0] != size:
             raise MediaError("the index doesn't point at a chunk")
         frames.append(data[p + 8 : p + 8 + size])
@@ -290,7 +309,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 def read(files: list[bytes]) -> list[np.ndarray]:
     """Each file's frames as rows of samples."""
-    parsed = [parse_avi(f)[0] for f in files]
+    parsed = [parse_avi(f, indexed=True)[0] for f in files]  # what store() writes has one
     samples = decode_frames([f for frames in parsed for f in frames])
     out, at = [], 0
     for frames in parsed:
@@ -306,11 +325,13 @@ def histograms(samples: np.ndarray, bins: int = 16) -> np.ndarray:
 
 
 def clips(samples: np.ndarray, window: int = 5, factor: float = 2.0, least: int = 58) -> list[tuple[int, int, int]]:
+    """(first frame, end, largest difference) of each shot of frames given as rows of samples."""
+    return shots(histograms(samples), window, factor, least) if len(samples) else []
+
+
+def shots(hist: np.ndarray, window: int = 5, factor: float = 2.0, least: int = 58) -> list[tuple[int, int, int]]:
     """(first frame, end, largest difference) of each shot; the threshold follows the differences around it."""
-    n = len(samples)
-    if not n:
-        return []
-    hist = histograms(samples)
+    n = len(hist)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1)
     cuts = [0]
     if len(diff):
@@ -337,30 +358,50 @@ def _batches(rows: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(rows)
 
 
-def clip_rows(media: DataFrame) -> DataFrame:
-    """media(doc_id, media) -> timed clips (doc_id, clip, start_ms, end_ms, frames, motion).
+def clips_of(data: bytes) -> tuple[list[tuple[int, int, int]], int]:
+    """A file's shots and its microseconds per frame; differences are of histograms of 576 samples, whatever the size of the pictures."""
+    frames, micros = parse_avi(data)
+    if all(f.startswith(HEAD) for f in frames):
+        return clips(decode_frames(frames)), micros
+    hist = []
+    for f in frames:
+        light = jpeg.luma(f)
+        hist.append(np.rint(histograms(light.reshape(1, -1))[0] * (FRAME / light.size)).astype(np.int64))
+    return shots(np.array(hist)), micros
+
+
+def clips_or_errors(media: DataFrame) -> DataFrame:
+    """media(doc_id, media) -> timed clips (doc_id, clip, start_ms, end_ms, frames, motion, error).
 
-    A null or broken file gives no clips; a file is decoded by one task.
+    Defined results: a file that can't be read is one row that says why, with null
+    for the rest; so is a null file; a file without frames has no clips; repeated
+    rows give their clips again; other columns are ignored; a file is decoded by
+    one task, a frame at a time; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names = ["doc_id", "clip", "start_ms", "end_ms", "frames", "motion", "error"]
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[tuple] = []
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                if data is None:
-                    continue
                 try:
-                    frames, micros = parse_avi(data)
-                    found = clips(decode_frames(frames))
-                except (MediaError, struct.error, IndexError):
+                    if data is None:
+                        raise MediaError("no file")
+                    found, micros = clips_of(data)
+                except (MediaError, struct.error, IndexError) as e:
+                    rows.append((doc, None, None, None, None, None, str(e) or type(e).__name__))
                     continue
-                for k, (a, b, motion) in enumerate(found):
-                    for col, v in zip(rows, (doc, k, a * micros // 1000, b * micros // 1000, b - a, motion), strict=True):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "clip", "start_ms", "end_ms", "frames", "motion"])
+                rows += [(doc, k, a * micros // 1000, b * micros // 1000, b - a, motion, None) for k, (a, b, motion) in enumerate(found)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(lean(run), "doc_id long, clip int, start_ms long, end_ms long, frames long, motion long, error string")
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(lean(run), "doc_id long, clip int, start_ms long, end_ms long, frames long, motion long")
+
+def clip_rows(media: DataFrame) -> DataFrame:
+    """The clips of the files that can be read (see clips_or_errors for the others)."""
+    return clips_or_errors(media).where("error IS NULL").drop("error")
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -382,8 +423,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> checksums of what was stored and read back, and the shots as a string.
 
     Defined results: null and empty texts are one frame of padding; repeated rows
-    and equal texts give equal values; other columns are ignored; an empty table
-    gives an empty table.
+    and equal texts give equal values; other columns are ignored; a text of any
+    length is stored whole by one task; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

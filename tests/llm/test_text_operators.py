@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import _text, bpe, langid, media, quality_rules
+from quire.llm import _text, bpe, jpeg, langid, media, quality_rules
 from tests.llm.data import documents, edge, empty, words
 
 # language id
@@ -218,6 +218,125 @@ def test_media_edges(spark):
     assert media.clip_rows(broken).count() == 0
 
 
+class Bits:
+    """Entropy-coded bytes, written bit by bit with the standard's tables."""
+
+    def __init__(self):
+        self.text = ""
+
+    def code(self, table, symbol):
+        code = at = 0
+        for n in range(1, 17):
+            for _ in range(table[0][n - 1]):
+                if table[1][at] == symbol:
+                    self.text += format(code, f"0{n}b")
+                    return
+                code, at = code + 1, at + 1
+            code <<= 1
+        raise AssertionError(symbol)
+
+    def number(self, value):
+        n = abs(value).bit_length()
+        if n:
+            self.text += format(value if value > 0 else value + (1 << n) - 1, f"0{n}b")
+
+    def block(self, dc, ac, difference, rest):
+        self.code(dc, abs(difference).bit_length())
+        self.number(difference)
+        zeros = 0
+        for k, v in enumerate(rest):
+            if not any(rest[k:]):
+                self.code(ac, 0)
+                break
+            if not v:
+                zeros += 1
+                continue
+            while zeros > 15:
+                self.code(ac, 0xF0)
+                zeros -= 16
+            self.code(ac, zeros << 4 | abs(v).bit_length())
+            self.number(v)
+            zeros = 0
+
+    def bytes(self):
+        full = self.text + "1" * (-len(self.text) % 8)
+        return bytes(int(full[k : k + 8], 2) for k in range(0, len(full), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def picture(rng, width, height, colour, restart, with_tables):
+    """A baseline picture with random coefficients (4:2:0 in colour), and its planes by slow sums."""
+    zz = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    factors = [(2, 2), (1, 1), (1, 1)] if colour else [(1, 1)]
+    unit = 16 if colour else 8
+    across, down = -(-width // unit), -(-height // unit)
+    steps = [rng.integers(1, 9, 64).tolist() for _ in range(2)]
+    tables = [(jpeg._DC_LUMA, jpeg._AC_LUMA), (jpeg._DC_CHROMA, jpeg._AC_CHROMA)]
+    grids = [np.zeros((down * h * 8, across * w * 8)) for w, h in factors]
+    scan, bits, last, marks = b"", Bits(), [0] * len(factors), 0
+    for u in range(across * down):
+        if restart and u and u % restart == 0:
+            scan += bits.bytes() + bytes([0xFF, 0xD0 + marks % 8])
+            bits, last, marks = Bits(), [0] * len(factors), marks + 1
+        for k, (w, h) in enumerate(factors):
+            for j in range(h):
+                for i in range(w):
+                    t = min(k, 1)
+                    coefficients = [int(rng.integers(-40, 40))] + [int(x) if rng.random() < 0.2 else 0 for x in rng.integers(-12, 12, 63)]
+                    if rng.random() < 0.2:
+                        coefficients[1:40] = [0] * 39
+                    bits.block(*tables[t], coefficients[0] - last[k], coefficients[1:])
+                    last[k] = coefficients[0]
+                    pixels = np.zeros((8, 8))
+                    for n, (r, c) in enumerate(zz):
+                        scale = (np.sqrt(0.5) if not r else 1) * (np.sqrt(0.5) if not c else 1) / 4
+                        x = np.arange(8)
+                        pixels += coefficients[n] * steps[t][n] * scale * np.cos((2 * x[:, None] + 1) * r * np.pi / 16) * np.cos((2 * x[None, :] + 1) * c * np.pi / 16)
+                    top, left = (u // across * h + j) * 8, (u % across * w + i) * 8
+                    grids[k][top : top + 8, left : left + 8] = pixels + 128
+    scan += bits.bytes()
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    frame = b"\xff\xd8" + part(0xE0, b"AVI1") + part(0xDB, b"".join(bytes([k, *s]) for k, s in enumerate(steps)))
+    if with_tables:
+        frame += part(0xC4, b"".join(bytes([kind << 4 | t]) + tables[t][kind][0] + tables[t][kind][1] for t in (0, 1) for kind in (0, 1)))
+    if restart:
+        frame += part(0xDD, struct.pack(">H", restart))
+    frame += part(0xC0, b"\x08" + struct.pack(">HHB", height, width, len(factors)) + b"".join(bytes([k + 1, w << 4 | h, min(k, 1)]) for k, (w, h) in enumerate(factors)))
+    frame += part(0xDA, bytes([len(factors)]) + b"".join(bytes([k + 1, min(k, 1) * 17]) for k in range(len(factors))) + b"\x00\x3f\x00") + scan + b"\xff\xd9"
+    full = [g if (w, h) == factors[0] else g.repeat(2, axis=0).repeat(2, axis=1) for g, (w, h) in zip(grids, factors, strict=True)]
+    return frame, [np.clip(np.rint(g[:height, :width]), 0, 255) for g in full]
+
+
+@pytest.mark.parametrize("width, height, colour, restart, with_tables", [(8, 8, False, 0, True), (33, 20, True, 2, False), (40, 17, True, 0, True), (21, 9, False, 1, False)])
+def test_pictures_of_other_makers_are_decoded(width, height, colour, restart, with_tables):
+    frame, want = picture(np.random.default_rng(width), width, height, colour, restart, with_tables)
+    got = jpeg.planes(frame)
+    assert len(got) == len(want) and all(np.abs(a.astype(float) - b).max() <= 1 for a, b in zip(got, want, strict=True))
+    y, cb, cr = want if colour else (want[0], np.full_like(want[0], 128), np.full_like(want[0], 128))
+    red = np.clip(y + 1.402 * (cr - 128), 0, 255)
+    assert np.abs(jpeg.rgb(frame)[:, :, 0] - red).max() <= 3
+    for cut in (10, len(frame) // 2):
+        with pytest.raises((media.MediaError, struct.error, IndexError)):
+            jpeg.planes(frame[:cut])
+
+
+def test_the_own_frames_are_ordinary_pictures():
+    samples = np.random.default_rng(4).integers(0, 256, (1, 576), dtype=np.uint8)
+    (frame,) = media.encode_frames(samples)
+    assert (jpeg.luma(frame) == samples.reshape(24, 24).repeat(8, axis=0).repeat(8, axis=1)).all()
+
+
+def test_clips_of_other_makers_and_errors(spark):
+    rng = np.random.default_rng(6)
+    one, two = (picture(rng, 24, 24, True, 2, k)[0] for k in (True, False))
+    movie = media.build_avi([one] * 8 + [two] * 8)
+    bare = movie[: movie.index(b"idx1")]
+    bare = bare[:4] + struct.pack("<I", len(bare) - 8) + bare[8:]
+    rows = [(1, movie), (2, bare), (3, None), (4, b"RIFFxxxxAVI "), (5, movie[:400]), (6, media.build_avi([]))]
+    found = media.clips_or_errors(spark.createDataFrame(rows, "doc_id long, media binary")).orderBy("doc_id", "clip").collect()
+    assert [(r["doc_id"], r["start_ms"], r["end_ms"], r["frames"]) for r in found if r["error"] is None] == [(i, a, a + 320, 8) for i in (1, 2) for a in (0, 320)]
+    assert [(r["doc_id"], r["clip"]) for r in found if r["error"]] == [(3, None), (4, None), (5, None)]
+
+
 def test_broken_files_raise():
     (stored,) = media.encode([b"a" * 576])
     for bad in (b"", b"RIFF", stored[:300], stored.replace(b"idx1", b"none")):
