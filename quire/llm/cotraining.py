@@ -177,8 +177,12 @@ def co_train(rows: dict[int, tuple[Row, Row]], labels: dict[int, int], surest: S
     return Model(done[0], done[1], mix)
 
 
+def _drawn(i: int) -> int:
+    return zlib.crc32(f"fold{i}".encode())
+
+
 def _fold(i: int) -> int:
-    return zlib.crc32(f"fold{i}".encode()) % 4
+    return _drawn(i) % 4
 
 
 _SAMPLE = "doc_id long, ti array<int>, tv array<float>, mi array<int>"
@@ -211,8 +215,8 @@ def _sums(weights: np.ndarray, index: pa.Array, value: pa.Array | None) -> np.nd
 
 
 def _surest_of(weights: list[np.ndarray], known: list[set], up: int, down: int):
-    """Each task's surest documents by view and label; ties by id."""
-    names = ["view", "label", "z", "doc_id", "ti", "tv", "mi"]
+    """Each task's surest documents by view and label; ties, of which the metadata view has many, are drawn by a hash of the id."""
+    names = ["view", "label", "z", "tie", "doc_id", "ti", "tv", "mi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], list[tuple]] = {(v, y): [] for v in (0, 1) for y in (0, 1)}
@@ -220,21 +224,22 @@ def _surest_of(weights: list[np.ndarray], known: list[set], up: int, down: int):
             if not batch.num_rows:
                 continue
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ties = np.fromiter(map(_drawn, docs.tolist()), dtype=np.int64, count=len(docs))
             scores = (_sums(weights[0], batch.column("ti"), batch.column("tv")), _sums(weights[1], batch.column("mi"), None))
             for (v, y), kept in best.items():
                 z, most = (scores[v], up) if y else (-scores[v], down)
-                for k in np.lexsort((docs, -z)).tolist():
-                    if z[k] <= 1 or len(kept) >= most and (-z[k], docs[k]) > kept[most - 1][:2]:
+                for k in np.lexsort((docs, ties, -z)).tolist():
+                    if z[k] <= 1 or len(kept) >= most and (-z[k], ties[k], docs[k]) > kept[most - 1][:3]:
                         break
                     if int(docs[k]) not in known[v]:
-                        kept.append((-float(z[k]), int(docs[k]), *(batch.column(c)[k].as_py() for c in ("ti", "tv", "mi"))))
-                kept.sort(key=lambda x: x[:2])
+                        kept.append((-float(z[k]), int(ties[k]), int(docs[k]), *(batch.column(c)[k].as_py() for c in ("ti", "tv", "mi"))))
+                kept.sort(key=lambda x: x[:3])
                 # rows of one id are alike to the next round
                 seen: set[int] = set()
-                kept[:] = [x for x in kept if not (x[1] in seen or seen.add(x[1]))][:most]
+                kept[:] = [x for x in kept if not (x[2] in seen or seen.add(x[2]))][:most]
         rows = [(v, y, *x) for (v, y), kept in best.items() for x in kept]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), *_SAMPLE_KINDS), strict=True)], names=names)
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.int64(), *_SAMPLE_KINDS), strict=True)], names=names)
 
     return run
 
@@ -256,12 +261,12 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         return (np.array(r["ti"], dtype=np.int64), np.array(r["tv"])), (meta, np.ones(len(meta)))
 
     def surest(weights: list[np.ndarray], known: list[set], up: int, down: int) -> list[tuple[int, int, int, Row, Row]]:
-        found = cut(rows.mapInArrow(lean(_surest_of(weights, known, up, down)), "view int, label int, z double, " + _SAMPLE), "surest")
+        found = cut(rows.mapInArrow(lean(_surest_of(weights, known, up, down)), "view int, label int, z double, tie long, " + _SAMPLE), "surest")
         out = []
         for v in (0, 1):
             for y, most in ((1, up), (0, down)):
                 # one id may come from several tasks
-                for r in found.where((F.col("view") == v) & (F.col("label") == y)).groupBy("doc_id").agg(F.min(F.struct("z", "ti", "tv", "mi")).alias("r")).select("doc_id", "r.*").orderBy("z", "doc_id").limit(most).collect():
+                for r in found.where((F.col("view") == v) & (F.col("label") == y)).groupBy("doc_id").agg(F.min(F.struct("z", "tie", "ti", "tv", "mi")).alias("r")).select("doc_id", "r.*").orderBy("z", "tie", "doc_id").limit(most).collect():
                     out.append((v, y, r["doc_id"], *row_of(r)))
         drop_cut(found)
         return out

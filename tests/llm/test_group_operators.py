@@ -511,7 +511,7 @@ def test_rounds_take_the_surest_of_all_documents(spark, sf_dir):
     weights = [rng.normal(0, 3, cotraining.WORDS + cotraining.SHAPES), rng.normal(0, 1, cotraining.META)]
     known = [set(range(0, 50)), set(range(100, 120))]
     rows = cotraining._with_views(docs).repartition(5).mapInArrow(cotraining._views, cotraining._SAMPLE)
-    found = rows.mapInArrow(cotraining._surest_of(weights, known, 12, 5), "view int, label int, z double, " + cotraining._SAMPLE).collect()
+    found = rows.mapInArrow(cotraining._surest_of(weights, known, 12, 5), "view int, label int, z double, tie long, " + cotraining._SAMPLE).collect()
     z = {r["doc_id"]: [sum(weights[0][k] * x for k, x in text.items()), sum(weights[1][k] for k in meta)] for r in docs.collect() for text, meta in [slow_views(r)]}
     for v in (0, 1):
         for y, most in ((1, 12), (0, 5)):
