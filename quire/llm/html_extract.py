@@ -23,11 +23,9 @@ the finer the more pages the host has.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import html
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from types import MappingProxyType
 
@@ -45,8 +43,8 @@ NAMED, NAMED_SHARE = 0.1, 0.2
 HOST_PAGES = 512
 #: Characters of a path that is written out.
 LONGEST = 240
-#: Contents are polynomials of their words' hashes in this base, modulo this prime.
-BASE, PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
+#: Contents are known by their words' bytes, read as one number, modulo this prime.
+PRIME = (1 << 64) - 59
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'>/]+)")
@@ -102,8 +100,14 @@ class _Marks:
         Quotes on the way of a search that found none are dead: a later search
         that comes to one of them ends there.
         """
-        size, seen = len(self.source), []
-        close, one, two = (self.next(mark, at) for mark in (">", '"', "'"))
+        source = self.source
+        close = self.found.get(">", -1)
+        if close < at:
+            close = self.next(">", at)
+        if close - at < 200 and source.find('"', at, close) < 0 and source.find("'", at, close) < 0 and close < len(source):
+            return close + 1  # most tags
+        size, seen = len(source), []
+        one, two = self.next('"', at), self.next("'", at)
         while True:
             quote = min(one, two)
             if close < quote:
@@ -128,12 +132,12 @@ def parse(source: str) -> Node:
     here, at, done, size = root, 0, 0, len(source)
     marks = _Marks(source)
     # how often each tag is open; inline ones also since the last block began
-    opened: Counter = Counter()
-    inline: list[Counter] = [Counter()]
+    opened: dict[str, int] = {}
+    inline: list[dict[str, int]] = [{}]
 
     def text(raw: str) -> None:
         if raw:
-            here.children.append(html.unescape(raw))
+            here.children.append(html.unescape(raw) if "&" in raw else raw)
 
     def leave(node: Node) -> None:
         """Out of a node and of all that is open in it."""
@@ -151,11 +155,11 @@ def parse(source: str) -> Node:
     def enter(node: Node) -> None:
         nonlocal here
         here = node
-        opened[node.tag] += 1
+        opened[node.tag] = opened.get(node.tag, 0) + 1
         if node.tag in BLOCK:
-            inline.append(Counter())
+            inline.append({})
         else:
-            inline[-1][node.tag] += 1
+            inline[-1][node.tag] = inline[-1].get(node.tag, 0) + 1
 
     while (start := source.find("<", at)) >= 0:
         c = source[start + 1 : start + 2]
@@ -186,7 +190,7 @@ def parse(source: str) -> Node:
         done = at = end
         name, rest = named[0].lower(), source[named.end() : end - 1]
         if closing:
-            if name not in BLOCK and not inline[-1][name] or not opened[name]:  # </b> doesn't end the paragraph around it
+            if not opened.get(name) or name not in BLOCK and not inline[-1].get(name):  # </b> doesn't end the paragraph around it
                 if name == "br":
                     here.children.append(Node("br", {}, here))
                 continue
@@ -195,13 +199,13 @@ def parse(source: str) -> Node:
                 node = node.parent
             leave(node)
             continue
-        if name in ENDS_P and opened["p"]:
+        if name in ENDS_P and opened.get("p"):
             node = here
             while node.parent is not None and node.tag != "p" and node.tag not in SCOPE:
                 node = node.parent
             if node.tag == "p":
                 leave(node)
-        if name in CLOSES and any(opened[t] for t in CLOSES[name][0]):
+        if name in CLOSES and any(opened.get(t) for t in CLOSES[name][0]):
             ended, holders = CLOSES[name]
             node, last = here, None
             while node.parent is not None and node.tag not in holders:
@@ -211,7 +215,7 @@ def parse(source: str) -> Node:
             if last is not None:
                 leave(last)
         attrs = {}
-        if rest.strip(" /\n\t"):
+        if rest and rest.strip(" /\n\t"):
             for a in _ATTR.finditer(rest):
                 key = (a[1] or a[5]).lower()
                 attrs.setdefault(key, html.unescape(a[2] or a[3] or a[4] or "") if a[1] else "")
@@ -294,33 +298,33 @@ def text_of(node: Node) -> str:
 def branches(root: Node) -> list[tuple[str, Node, int]]:
     """All elements in page order with their paths and a hash of the words of text_of.
 
-    A page's words are hashed once; what an element holds is a run of them, whose
-    hash follows from those of the words before its start and its end.
+    A page's texts are hashed once; what an element holds is a run of them, whose
+    hash follows from those of all that lies before its start and its end.
     """
     out: list[tuple[str, Node]] = []
-    first: list[int] = []
-    last: list[int] = []
-    before, power = [0], [1]
+    first: list[tuple[int, int]] = []
+    last: list[tuple[int, int]] = []
+    before = length = 0
     # an element's number when its end is reached; words of scripts and styles don't count
     stack: list[tuple[Node | str | int, str, bool]] = [(c, "", root.tag not in ("script", "style")) for c in reversed(root.children)]
     while stack:
         c, above, shown = stack.pop()
         if isinstance(c, int):
-            last[c] = len(before) - 1
+            last[c] = before, length
         elif isinstance(c, str):
-            if shown:
-                for w in c.split():
-                    before.append((before[-1] * BASE + _word(w)) % PRIME)
-                    power.append(power[-1] * BASE % PRIME)
+            if shown and (words := c.split()):
+                data = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
+                before = (before * pow(256, len(data), PRIME) + int.from_bytes(data, "big")) % PRIME
+                length += len(data)
         else:
             p = path_of(c, above)
             out.append((p, c))
-            first.append(len(before) - 1)
-            last.append(0)
+            first.append((before, length))
+            last.append((0, 0))
             shown = shown and c.tag not in ("script", "style")
             stack.append((len(out) - 1, "", False))
             stack.extend((k, p, shown) for k in reversed(c.children))
-    return [(p, c, (before[z] - before[a] * power[z - a]) % PRIME) for (p, c), a, z in zip(out, first, last, strict=True)]
+    return [(p, c, (z - a * pow(256, n - m, PRIME)) % PRIME) for (p, c), (a, m), (z, n) in zip(out, first, last, strict=True)]
 
 
 def articles(root: Node) -> list[Node]:
@@ -432,11 +436,6 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-@functools.lru_cache(1 << 16)
-def _word(w: str) -> int:
-    return _hash(w) % (PRIME - 1) + 1
-
-
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's paths with their styles and contents, once per page."""
     for batch in batches:
