@@ -158,7 +158,7 @@ def co_train(rows: dict[int, tuple[Row, Row]], labels: dict[int, int], surest: S
             fitted[v] = fit([rows[i][v] for i, _ in items], np.array([y for _, y in items], dtype=float), sizes[v])
         if turn == rounds:
             break
-        up, down = round(per_round * good), max(1, round(per_round * (1 - good)))
+        up, down = max(1, round(per_round * good)), max(1, round(per_round * (1 - good)))
         for v, y, i, text, meta in surest(fitted, [set(own[1]) | set(labels), set(own[0]) | set(labels)], up, down):
             rows.setdefault(i, (text, meta))
             own[1 - v].setdefault(i, y)
@@ -327,10 +327,11 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at["text"]).to_pylist()
-            meta = [meta_view(*x) for x in zip(*(batch.column(at[c]).to_pylist() if c in at else [None] * len(texts) for c in ("source", "lang", "n_chars")), strict=True)]
-            blank = np.array([not t or not t.strip() for t in texts], dtype=bool)
-            keep = (model.score(text_view(texts), meta)[0] >= KEEP_FROM) & ~blank if texts else np.zeros(0, dtype=bool)
-            yield batch.filter(pa.array(keep))
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                texts = part.column(at["text"]).to_pylist()
+                meta = [meta_view(*x) for x in zip(*(part.column(at[c]).to_pylist() if c in at else [None] * len(texts) for c in ("source", "lang", "n_chars")), strict=True)]
+                blank = np.array([not t or not t.strip() for t in texts], dtype=bool)
+                yield part.filter(pa.array((model.score(text_view(texts), meta)[0] >= KEEP_FROM) & ~blank))
 
     return docs.mapInArrow(lean(run), docs.schema)

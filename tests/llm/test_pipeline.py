@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import queries
+from quire.llm import cotraining, queries
 from quire.llm._spark import cut
 from tests.llm.data import documents, edge, empty, words
 from tests.oracle import differences
@@ -50,6 +50,20 @@ def test_classifier_rejects_poor_documents_that_pass_the_rules(spark):
     assert sum(i < 10**9 for i in kept) > 0.9 * others
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_classifier_goes_through_if_labels_of_a_class_are_rare(spark, tmp_path, rare):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    ids = sorted(r["doc_id"] for r in docs.select("doc_id").where(~cotraining.held_out(F.col("doc_id"))).collect())
+    learned = [i for i in ids if cotraining._fold(i)]
+    # of its share of a round nothing is left
+    assert round(cotraining.PER_ROUND / len(learned)) == 0
+    labels = spark.createDataFrame([(i, rare if i == learned[0] else 1 - rare) for i in ids], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in cotraining.op10_quality_classifier(spark, str(tmp_path)).where("kept").collect()}
+
+
 def test_run_puts_each_stage_behind_the_one_before(spark, sf_dir, monkeypatch):
     def adding(n):
         return lambda s, docs, d: docs.withColumn("n_chars", F.coalesce("n_chars", F.lit(0)) * 2 + n)
