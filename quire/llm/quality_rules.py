@@ -15,11 +15,12 @@ any length is measured whole; an empty table gives an empty table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._spark import BLANKS, table
+from quire.llm._spark import table
 
 #: Frequent function words of the languages that the corpus is curated for.
 STOP_WORDS = tuple(
@@ -64,8 +65,8 @@ RULES = (
     Rule("alphabetic", "alpha_word_ratio", 0.6, None),
 )
 
-_SPLIT = r"[\x20\x09-\x0D]+"
-
+#: Every way to write a stop word: no other letters become theirs in lower case.
+STOP_FORMS = tuple(sorted({"".join(x) for w in STOP_WORDS for x in product(*((c, c.upper()) for c in w))}))
 
 def _bound(value: Column) -> Column:
     """The same value, but not deterministic in the optimiser's eyes.
@@ -76,37 +77,61 @@ def _bound(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)  # rand() >= 0 would be folded away
 
 
-def _measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts that the rules are made of.
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which name is value: computed once, and an array's elements are not copied into a row and out again."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
-    Arrays are bound by one projection each, so none is computed twice. Repeats
-    of 3-word windows are found on 64-bit hashes of the windows: a text whose
-    hashes are all distinct (the usual case) is done after one pass; in the
+def _of_words() -> str:
+    """SQL of the counts of _rule_t's words.
+
+    Repeats of 3-word windows are found on 64-bit hashes of the windows: a text
+    whose hashes are all distinct (the usual case) is done after one pass; in the
     others (hash, place) pairs are sorted, neighbours with equal hashes mark
     places, and the words that marked windows cover are counted from the gaps.
     """
-    e = F.expr
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(BLANKS))
-    df = df.withColumn("_rule_t", trimmed)
-    df = df.withColumn("_rule_w", _bound(F.when(F.col("_rule_t") == "", F.array().cast("array<string>")).otherwise(F.split("_rule_t", _SPLIT))))
-    df = df.withColumn("_rule_l", _bound(F.filter(F.split(F.col(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")))
-    df = df.withColumn("n_words", F.size("_rule_w").cast("long"))
-    windows = "transform(sequence(1, size(_rule_w) - 2), i -> xxhash64(element_at(_rule_w, i), element_at(_rule_w, i + 1), element_at(_rule_w, i + 2)))"
-    df = df.withColumn("_rule_h", _bound(e(f"CASE WHEN n_words < 3 THEN cast(array() AS array<bigint>) ELSE {windows} END")))
-    df = df.withColumn("_rule_s", _bound(F.when(F.size(F.array_distinct("_rule_h")) == F.size("_rule_h"), e("cast(array() AS array<struct<h:bigint,i:int>>)")).otherwise(e("sort_array(transform(_rule_h, (x, i) -> named_struct('h', x, 'i', i)))"))))
-    df = df.withColumn("_rule_r", _bound(e("sort_array(transform(filter(_rule_s, (x, k) -> (k > 0 AND x.h = _rule_s[greatest(k - 1, 0)].h) OR (k < size(_rule_s) - 1 AND x.h = _rule_s[least(k + 1, size(_rule_s) - 1)].h)), x -> x.i))")))
-    return (
-        df.withColumn("n_repeat_words", e("CASE WHEN size(_rule_r) = 0 THEN 0L ELSE aggregate(transform(_rule_r, (x, k) -> CASE WHEN k = size(_rule_r) - 1 THEN 3 ELSE least(3, _rule_r[least(k + 1, size(_rule_r) - 1)] - x) END), 0L, (a, x) -> a + x) END"))
-        .withColumn("word_chars", F.length(F.array_join("_rule_w", "")).cast("long"))
-        .withColumn("n_symbols", F.regexp_count(F.col("_rule_t"), F.lit("[#*$%&|<>]")).cast("long"))
-        .withColumn("n_lines", F.greatest(F.coalesce(F.size("_rule_l"), F.lit(0)), F.lit(0)).cast("long"))
-        .withColumn("n_dup_lines", (F.col("n_lines") - F.greatest(F.coalesce(F.size(F.array_distinct("_rule_l")), F.lit(0)), F.lit(0))).cast("long"))
-        .withColumn("n_stop_words", F.size(F.filter("_rule_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
-        .withColumn("n_alpha_words", F.regexp_count(F.col("_rule_t"), F.lit(r"(?:^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]*\p{L}")).cast("long"))
-        .withColumn("n_bullet_lines", e(r"CASE WHEN _rule_l IS NULL THEN 0L ELSE cast(size(filter(_rule_l, x -> substring(ltrim(x), 1, 1) IN ('-', '*', '•', '‣', '·'))) AS bigint) END"))
-        .withColumn("n_ellipsis_lines", e("CASE WHEN _rule_l IS NULL THEN 0L ELSE cast(size(filter(_rule_l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS bigint) END"))
-        .drop("_rule_t", "_rule_w", "_rule_l", "_rule_h", "_rule_s", "_rule_r")
-    )
+    words = r"array_remove(split(_rule_t, r'[\x20\x09-\x0D]+'), '')"
+    windows = "transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))"
+    pairs = "sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))"
+    marked = "sort_array(transform(filter(s, (x, k) -> (k > 0 AND x.h = s[greatest(k - 1, 0)].h) OR (k < size(s) - 1 AND x.h = s[least(k + 1, size(s) - 1)].h)), x -> x.i))"
+    covered = "aggregate(transform(r, (x, k) -> CASE WHEN k = size(r) - 1 THEN 3 ELSE least(3, r[least(k + 1, size(r) - 1)] - x) END), 0L, (a, x) -> a + x)"
+    repeats = f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {_let('s', pairs, _let('r', marked, covered))} END"
+    stops = ", ".join(f"'{x}'" for x in STOP_FORMS)
+    counts = f"named_struct('n', size(w), 'chars', length(array_join(w, '')), 'repeats', {_let('h', windows, repeats)}, 'stops', size(filter(w, x -> x IN ({stops}))))"
+    return _let("w", words, counts)
+
+
+def _of_lines() -> str:
+    """SQL of the counts of _rule_t's lines that have a word."""
+    lines = r"filter(split(_rule_t, '\n'), x -> x RLIKE r'[^\x20\x09-\x0D]')"
+    bullets = "size(filter(l, x -> substring(ltrim(x), 1, 1) IN ('-', '*', '•', '‣', '·')))"
+    ellipses = "size(filter(l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…'))"
+    return _let("l", lines, f"named_struct('n', size(l), 'dups', size(l) - size(array_distinct(l)), 'bullets', {bullets}, 'ellipses', {ellipses})")
+
+
+def _measured(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the counts that the rules are made of, of words and of lines in one projection each.
+
+    Words and lines are only held as arrays while a row's counts are made; the
+    heap of an executor grows with what is allocated for each word.
+    """
+    df = df.withColumn("_rule_t", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumns({"_rule_w": _bound(F.expr(_of_words())), "_rule_l": _bound(F.expr(_of_lines()))})
+    symbols = F.regexp_count(F.col("_rule_t"), F.lit("[#*$%&|<>]"))
+    no_letter = F.regexp_count(F.col("_rule_t"), F.lit(r"(?:^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"))
+    counts = {
+        "n_words": F.col("_rule_w.n"),
+        "n_repeat_words": F.col("_rule_w.repeats"),
+        "word_chars": F.col("_rule_w.chars"),
+        "n_symbols": symbols,
+        "n_lines": F.col("_rule_l.n"),
+        "n_dup_lines": F.col("_rule_l.dups"),
+        "n_stop_words": F.col("_rule_w.stops"),
+        "n_alpha_words": F.col("_rule_w.n") - no_letter,
+        "n_bullet_lines": F.col("_rule_l.bullets"),
+        "n_ellipsis_lines": F.col("_rule_l.ellipses"),
+    }
+    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("_rule_t", "_rule_w", "_rule_l")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

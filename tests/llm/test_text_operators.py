@@ -115,6 +115,16 @@ def test_rule_edges(spark):
     assert [brute_rules(r["text"]) for r in some.collect()] == [tuple(r[c] for c in quality_rules.COLUMNS[1:7]) for r in quality_rules.apply_rules(some).collect()]
 
 
+def test_stop_words_and_words_with_letters_equal_brute_force(spark):
+    odd = ["THE the tHe Él él FÜR für the. 1 22 3a \u2028 1\u2028", " \n1 2\t3 ", "\U00010400 \U0001d7d8 İ ı K", "nicht NICHT\x0bmás MÁS", "1", "a", "", None]
+    rows = quality_rules.apply_rules(spark.createDataFrame([(t,) for t in odd], "text string").unionByName(edge(spark).select("text"))).collect()
+    for r in rows:
+        w = words(r["text"])
+        assert (r["n_stop_words"], r["n_alpha_words"]) == (sum(x.lower() in quality_rules.STOP_WORDS for x in w), sum(any(c.isalpha() for c in x) for x in w))
+    letters = set("".join(quality_rules.STOP_WORDS))
+    assert {c for c in map(chr, range(0x110000)) if c.lower() in letters} == {x for c in letters for x in (c, c.upper())}
+
+
 def test_rules_run_without_python_and_shuffle(spark, sf_dir):
     plan = quality_rules.op6_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
