@@ -7,19 +7,26 @@ documents are independent of each other. Facets are exploded in the JVM.
 
 Null sources read as empty. A document that can't be read has an `error`, null
 Markdown and no rows in other facets; the others go on.
+
+Memory doesn't grow with a batch: a facet reads about `PIECE` bytes of sources
+and hands on what it made of them. Equal documents are read once as long as no
+more than `PIECE` bytes of other sources lie between them.
 """
 
 from __future__ import annotations
 
 import contextlib
 import json
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from datetime import date
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.kernel import bibtex, engine, render, scanner
@@ -28,6 +35,57 @@ from quire.kernel.reader import Settings
 from quire.operators import schema
 
 
+#: Bytes of sources that are read before their facet is handed on; a longer document stands alone.
+PIECE = 1 << 20
+
+
+def _pieces(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """A batch's columns in slices of about PIECE bytes."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    before = (np.cumsum(sizes) - sizes) // PIECE
+    starts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(sizes)]
+    for a, b in zip(starts, starts[1:]):
+        yield tuple(c.slice(a, b - a) for c in columns)
+
+
+def _lists(found: list[list], kind: pa.ListType) -> pa.Array:
+    """Lists of rows, built as flat columns and offsets; a row is a tuple of the struct's fields or a dict."""
+    rows = list(chain.from_iterable(found))
+    if not rows or isinstance(rows[0], dict):
+        return pa.array(found, type=kind)
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    fields = list(kind.value_type)
+    columns = [pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=fields))
+
+
+class _Once:
+    """What is made of each source, once for equal ones; forgets what it has seen after PIECE characters."""
+
+    def __init__(self, make: Callable[..., object], kind: pa.DataType) -> None:
+        self.make, self.kind, self.seen, self.held = make, kind, {}, 0
+
+    def __call__(self, *columns: pa.Array) -> pa.Array:
+        places: dict[tuple, int] = {}
+        found, at = [], []
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            place = places.get(row)
+            if place is None:
+                place = places[row] = len(found)
+                found.append(self._of(row))
+            at.append(place)
+        out = _lists(found, self.kind) if found and isinstance(found[0], list) else pa.array(found, type=self.kind)
+        return out if len(found) == len(at) else out.take(pa.array(at, pa.int32()))
+
+    def _of(self, row: tuple) -> object:
+        if row not in self.seen:
+            if self.held > PIECE:
+                self.seen, self.held = {}, 0
+            self.seen[row] = self.make(*row)
+            self.held += sum(map(len, filter(None, row)))
+        return self.seen[row]
+
+
 def _columns_of_tokens(sources: Iterable[str | None]) -> pa.Array:
     """Lists of tokens, built as flat columns and offsets: no object for each token's row."""
     offsets, kinds, texts, auxes, levels = [0], [], [], [], []
@@ -52,7 +110,6 @@ class _Flat:
     def __init__(self, found: engine.Result) -> None:
         self.blocks: list[dict] = []
         self.inlines: list[dict] = []
-        self.cells: list[dict] = []
         self._blocks(found.blocks, None, 0)
 
     def _blocks(self, nodes: list[Node], parent: int | None, depth: int) -> None:
@@ -64,8 +121,6 @@ class _Flat:
                     "text": node.text, "label": node["label"], "number": node["number"] or None, "title": node["title"], "markdown": render.block(node),
                 }
             )
-            if node.kind == "table":
-                self._cells(node, mine)
             for kind, kids in parts(node):
                 if kind == "blocks":
                     self._blocks(kids, mine, depth + 1)
@@ -80,11 +135,27 @@ class _Flat:
             if node.kind in WRAPPERS or node.kind == "cite":
                 self._inlines(node.kids, block, mine)
 
-    def _cells(self, node: Node, block: int) -> None:
-        for row, cells in enumerate(node.kids):
-            for col, cell in enumerate(cells):
-                align = node["columns"][col] if col < len(node["columns"]) else ""
-                self.cells.append({"block_id": block, "row": row, "col": col, "is_header": not row, "align": align, "text": render.cell(cell)})
+
+def _cells(found: engine.Result) -> list[tuple]:
+    """The cells of all tables, by the numbers that blocks have in _Flat."""
+    out: list[tuple] = []
+    count = 0
+
+    def blocks(nodes: list[Node]) -> None:
+        nonlocal count
+        for node in nodes:
+            mine, count = count, count + 1
+            if node.kind == "table":
+                columns = node["columns"]
+                for row, cells in enumerate(node.kids):
+                    for col, cell in enumerate(cells):
+                        out.append((mine, row, col, not row, columns[col] if col < len(columns) else "", render.cell(cell)))
+            for kind, kids in parts(node):
+                if kind == "blocks":
+                    blocks(kids)
+
+    blocks(found.blocks)
+    return out
 
 
 def _events(found: engine.Result) -> list[dict]:
@@ -105,13 +176,16 @@ def _converted(found: engine.Result, with_frontmatter: bool) -> dict:
 def _reading(make: Callable[[engine.Result], object], kind: pa.DataType, settings: Settings) -> Callable[[Column, Column, Column], Column]:
     """A facet as a function of (source, base folder, files by path as a JSON object or null)."""
 
-    @F.arrow_udf(schema.spark_type(kind))
-    def facet(source: pa.Array, base: pa.Array, files: pa.Array) -> pa.Array:
-        def one(s: str | None, b: str | None, f: str | None) -> object:
-            here = settings if b is None and f is None else replace(settings, base=b, files=json.loads(f) if f else settings.files)
-            return make(engine.read(s, here))
+    def one(s: str | None, b: str | None, f: str | None) -> object:
+        here = settings if b is None and f is None else replace(settings, base=b, files=json.loads(f) if f else settings.files)
+        return make(engine.read(s, here))
 
-        return pa.array([one(*x) for x in zip(source.to_pylist(), base.to_pylist(), files.to_pylist(), strict=True)], type=kind)
+    @F.arrow_udf(schema.spark_type(kind))
+    def facet(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        once = _Once(one, kind)
+        for batch in batches:
+            for piece in _pieces(*batch):
+                yield once(*piece)
 
     return facet
 
@@ -151,25 +225,58 @@ def inlines(source: Column | str, *, settings: Settings | None = None) -> Column
 
 
 def cells(source: Column | str, *, settings: Settings | None = None) -> Column:
-    return _facet(lambda r: _Flat(r).cells, pa.list_(schema.CELL), source, None, None, settings)
+    return _facet(_cells, pa.list_(schema.CELL), source, None, None, settings)
 
 
 @F.arrow_udf(schema.spark_type(pa.list_(schema.TOKEN)))
-def tokens(source: pa.Array) -> pa.Array:
+def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Tokens with their positions."""
-    return _columns_of_tokens(source.to_pylist())
+    for batch in batches:
+        for (piece,) in _pieces(batch):
+            yield _columns_of_tokens(piece.to_pylist())
+
+
+def _kinds(source: str | None) -> list[tuple[str, int]]:
+    try:
+        return list(Counter(kind for kind, _, _ in scanner.scan(source or "")).items())
+    except scanner.UnbalancedBraces:
+        return []
+
+
+@F.arrow_udf(schema.spark_type(pa.list_(schema.KIND_COUNT)))
+def token_kinds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The kinds of a document's tokens with their numbers; the tokens themselves stay in Python."""
+    once = _Once(_kinds, pa.list_(schema.KIND_COUNT))
+    for batch in batches:
+        for piece in _pieces(batch):
+            yield once(*piece)
 
 
 @F.arrow_udf(schema.spark_type(pa.list_(schema.ENTRY)))
-def bibtex_entries(source: pa.Array) -> pa.Array:
+def bibtex_entries(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The entries of BibTeX databases, in order."""
-    return pa.array([_entries(bibtex.parse(s or "")) for s in source.to_pylist()], type=pa.list_(schema.ENTRY))
+    once = _Once(lambda s: _entries(bibtex.parse(s or "")), pa.list_(schema.ENTRY))
+    for batch in batches:
+        for piece in _pieces(batch):
+            yield once(*piece)
+
+
+#: Parts for each core that few splits are dealt to.
+PARTS = 3
+
+
+def python_parts(spark: SparkSession) -> int:
+    """Parts of a shuffle whose rows go on to Python."""
+    return max(PARTS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """The same documents, dealt to all cores if their input has fewer splits than there are: what Python does to them costs more than the exchange."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+    """The same documents, dealt to all cores if their table has few splits: what Python does to them costs more than the exchange.
+
+    docs should be a table as it is read; one that was shuffled has parts enough.
+    """
+    parts = PARTS * docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(parts) if docs._jdf.queryExecution().toRdd().getNumPartitions() < parts else docs
 
 
 def exploded(docs: DataFrame, facet: Column, *keep: str) -> DataFrame:

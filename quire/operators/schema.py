@@ -16,6 +16,7 @@ def struct(**fields: pa.DataType) -> pa.StructType:
 
 
 TOKEN = struct(pos=_I, kind=_S, text=_S, aux=_S, level=_I)
+KIND_COUNT = struct(kind=_S, n=pa.int64())
 BLOCK = struct(
     block_id=_I, parent_id=_I, ord=_I, depth=_I, kind=_S, level=_I, lang=_S, text=_S, label=_S, number=_S, title=_S, markdown=_S
 )

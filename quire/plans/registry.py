@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import convert as K
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become documents, dealt to all cores before anything is made of them."""
+    return K.spread(table(spark, sf_dir, name))
+
+
 def tex(*parts: str | Column) -> Column:
     """Strings as they are, columns as their text."""
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
