@@ -133,8 +133,12 @@ def table_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     cells: keys, row (0 is the head), col, align, text. Widths are maxima by
     column, at least 3; a row without some cell gets an empty one.
     """
-    # a table's cells come together once; layout is made of arrays within the row, bounded by the table itself
-    tables = cells.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "align", "text")).alias("_all"))
+    return lines_of_tables(cells.groupBy(*keys).agg(F.collect_list(F.struct("row", "col", "align", "text")).alias("cells")), keys)
+
+
+def lines_of_tables(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from tables: keys, and `cells` as an array of structs. Nothing is shuffled; layout is made of arrays within the row, bounded by the table itself."""
+    tables = tables.select(*keys, F.col("cells").alias("_all"))
     numbers = F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["col"])))
     of = lambda n: F.filter("_all", lambda x: x["col"] == n)
     width = lambda n: F.greatest(F.lit(3), F.array_max(F.transform(of(n), lambda x: F.char_length(x["text"]))))

@@ -335,9 +335,9 @@ def tables_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CELLS + "SELECT l_orderkey, CAST(rn AS BIGINT) AS row, line || CASE WHEN rn = 0 THEN chr(10) || bar ELSE '' END AS line FROM r")
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from the table of cells, by aggregates."""
-    cells = K.exploded(_order_tables(spark, sf_dir), K.cells("content"), "l_orderkey")
-    return passes.table_lines(cells, ["l_orderkey"]).select("l_orderkey", F.col("row").cast("long").alias("row"), "line")
+    """The same from the cells of each table."""
+    tables = _order_tables(spark, sf_dir).select("l_orderkey", K.cells("content").alias("cells"))
+    return passes.lines_of_tables(tables, ["l_orderkey"]).select("l_orderkey", F.col("row").cast("long").alias("row"), "line")
 
 
 @query("""

@@ -45,3 +45,22 @@ def test_equal_documents_are_read_once():
     assert [r[0]["kind"] for r in once(pa.array(["a", "b", "a", "a"])).to_pylist()] == ["a", "b", "a", "a"]
     assert once(pa.array(["b", "c"])).to_pylist()[1][0]["pos"] == 1
     assert read == ["a", "b", "c"]
+
+
+def test_cells_are_not_shuffled(spark, sf_dir):
+    assert _plan(spark, sf_dir, "table_lines").split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
+def test_known_tokens_are_bounded_and_no_different():
+    scanner._KNOWN.clear()
+    source = "".join(f"w{i} & \\c{'x' * (i % 50)}\n" for i in range(3 * scanner._KNOWN_TOKENS))
+    assert scanner.scan(source) == scanner.scan(source)
+    assert len(scanner._KNOWN) <= scanner._KNOWN_TOKENS and max(map(len, scanner._KNOWN)) <= scanner._KNOWN_LENGTH
+    for i in range(3 * nodes._KNOWN_TEXTS):
+        nodes.text_node(f"w{i}")
+    assert len(nodes._TEXTS) <= nodes._KNOWN_TEXTS
+
+
+def test_blanks_around_cells():
+    source = "\\begin{tabular}{lr} \\par & \\newline a b \\par\n& {} \\\\[2pt] & & \\\\ c \\end{tabular}"
+    assert convert(source) == "|     | a b |     |\n|:----|----:|-----|\n| c   |     |     |\n\n"
