@@ -39,7 +39,12 @@ def tex(*parts: str | Column) -> Column:
 
 
 def gathered(rows: DataFrame, key: str, order: str | list[str], part: Column, sep: str = "") -> DataFrame:
-    """One text for each key from its rows' parts in order."""
+    """One text for each key from its rows' parts in order.
+
+    The keys are dealt to a number of parts that stays: what adapts to bytes
+    makes a few more parts than cores, and Python's work then takes two rounds.
+    """
     order = [order] if isinstance(order, str) else order
-    parts = F.sort_array(F.collect_list(F.struct(*order, part.alias("_part"))))
+    rows = rows.select(F.col(key), *order, part.alias("_part")).repartition(K.python_parts(rows.sparkSession), key)
+    parts = F.sort_array(F.collect_list(F.struct(*order, "_part")))
     return rows.groupBy(key).agg(parts.alias("_parts")).select(key, F.array_join(F.transform("_parts", lambda p: p["_part"]), sep).alias("content"))

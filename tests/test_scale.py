@@ -64,3 +64,8 @@ def test_known_tokens_are_bounded_and_no_different():
 def test_blanks_around_cells():
     source = "\\begin{tabular}{lr} \\par & \\newline a b \\par\n& {} \\\\[2pt] & & \\\\ c \\end{tabular}"
     assert convert(source) == "|     | a b |     |\n|:----|----:|-----|\n| c   |     |     |\n\n"
+
+
+@pytest.mark.parametrize("name", ["tables_rendered", "document_statistics", "table_lines"])
+def test_gathered_documents_have_a_number_of_parts_that_stays(spark, sf_dir, name):
+    assert "REPARTITION_BY_NUM" in _plan(spark, sf_dir, name) and K.python_parts(spark) >= K.PARTS * spark.sparkContext.defaultParallelism
