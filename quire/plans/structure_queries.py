@@ -13,13 +13,13 @@ from quire.kernel.engine import STATS
 from quire.kernel.reader import Settings
 from quire.operators import convert as K
 from quire.plans import passes
-from quire.plans.registry import query, table, tex
+from quire.plans.registry import dealt, query, table, tex
 from quire.sources import sinks
 
 
 def _parts(spark: SparkSession, sf_dir: str, *source, **settings) -> DataFrame:
     """A document for each part, converted."""
-    docs = table(spark, sf_dir, "part").select("p_partkey", tex(*source).alias("content"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", tex(*source).alias("content"))
     return docs.select("p_partkey", K.converted("content", settings=Settings(**settings)).alias("c"))
 
 

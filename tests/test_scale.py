@@ -14,6 +14,14 @@ DEALT = [
     "plain_documents_converted",
     "token_kind_counts",
     "paragraph_counts",
+    "boxes_links_and_breaks",
+    "labels_redefined_and_missing",
+    "footnote_marks",
+    "captioned_tables",
+    "transparent_environments",
+    "bibliography_items",
+    "whole_documents",
+    "unknown_environments_and_drawings",
 ]
 
 
