@@ -97,7 +97,7 @@ def citations_of_authors_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
     bib = tex("@book{k, author={A One}, year=1, title={X}}\n@book{k, author={Jo P", size, " and Al Six}, title={T", key, "}, year=1907}\n@misc{, title={none}}\n")
     content = tex("\\bibliography{refs, ,}\n\n\\cite{k} \\citet{k} \\citep[see][p. ", size, "]{k} \\citeauthor{k} \\citeyear{k} \\citealt{k} \\citealp{k} \\citeyearpar{k} \\cite{,k, }")
-    docs = table(spark, sf_dir, "part").select("p_partkey", content.alias("content"), F.to_json(F.create_map(F.lit("refs.bib"), bib)).alias("files_json"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", content.alias("content"), F.to_json(F.create_map(F.lit("refs.bib"), bib)).alias("files_json"))
     return K.convert(docs).select("p_partkey", "markdown")
 
 

@@ -22,6 +22,7 @@ DEALT = [
     "bibliography_items",
     "whole_documents",
     "unknown_environments_and_drawings",
+    "citations_of_authors_numeric",
 ]
 
 
