@@ -156,7 +156,7 @@ def statistics_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\\section{S}\nP $m$ \\url{u} \\cite{k}\\footnote{N}\n\n", lists, grid, "\\begin{figure}\\includegraphics{p}\\includegraphics{q}\\caption{c}\\end{figure}\n",
         "\\begin{equation}x\\end{equation}\n\\begin{verbatim}\nv\n\\end{verbatim}\n\\begin{quote}q\\end{quote}\n\\begin{theorem}t\\end{theorem}",
     )
-    docs = table(spark, sf_dir, "part").select("p_partkey", K.stats(source).alias("s"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", K.stats(source).alias("s"))
     return docs.select("p_partkey", *(F.col(f"s.{n}").cast("long").alias(n) for n in STATS))
 
 

@@ -25,6 +25,7 @@ DEALT = [
     "citations_of_authors_numeric",
     "macros_and_environments",
     "layout_commands_dropped",
+    "statistics_of_all_kinds",
 ]
 
 
