@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import columns as C
 from quire.operators import convert as K
 from quire.plans import passes
-from quire.plans.registry import gathered, query, table, tex
+from quire.plans.registry import dealt, gathered, query, table, tex
 from quire.sources import files as S
 
 _HEADINGS = ("chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
@@ -232,7 +232,7 @@ def citations_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All citation modes in author-year style, each customer as a database of one entry."""
     key = F.col("c_custkey")
     content = tex("\\bibliographystyle{plainnat}\n\n\\bibliography{refs}\n\n", *(x for c in ("cite{", "citet{", "citep[see][p. 3]{", "citealt{", "citeyearpar{", "citeauthor{", "citeyear{", "citealp{") for x in (f"\\{c}c", key, "} ")), "\\cite{gone}")
-    docs = table(spark, sf_dir, "customer").select("c_custkey", content.alias("content"), F.to_json(F.create_map(F.lit("refs.bib"), _customer_entry()[1])).alias("files_json"))
+    docs = dealt(spark, sf_dir, "customer").select("c_custkey", content.alias("content"), F.to_json(F.create_map(F.lit("refs.bib"), _customer_entry()[1])).alias("files_json"))
     out = docs.select("c_custkey", K.converted("content", files=F.col("files_json")).alias("c"))
     return out.select("c_custkey", "c.markdown", F.array_join("c.warnings", ";").alias("warning"))
 

@@ -26,6 +26,7 @@ DEALT = [
     "macros_and_environments",
     "layout_commands_dropped",
     "statistics_of_all_kinds",
+    "citations_author_year",
 ]
 
 
