@@ -213,8 +213,8 @@ SELECT c_custkey, CAST(c_nationkey AS INT) AS times, 'k' || c_custkey % 7 AS key
 """)
 def citation_numbers_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key that is cited again and again has one number; `times` tells how often it is."""
-    docs = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.repeat(tex("\\cite{k", F.col("c_custkey") % 7, "} "), F.greatest(F.lit(1), F.col("c_nationkey")).cast("int")).alias("content"))
-    cites = K.exploded(docs, K.events("content"), "c_custkey", "c_nationkey").where("event = 'cite'")
-    numbers = passes.citation_numbers(cites, "c_custkey")
-    times = cites.groupBy("c_custkey").agg(F.max("c_nationkey").cast("int").alias("times"))
-    return numbers.join(times, "c_custkey").select("c_custkey", "times", "key", "number")
+    docs = dealt(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.repeat(tex("\\cite{k", F.col("c_custkey") % 7, "} "), F.greatest(F.lit(1), F.col("c_nationkey")).cast("int")).alias("content"))
+    docs = docs.select(F.struct("c_custkey", "c_nationkey").alias("doc"), "content")
+    cites = K.exploded(docs, K.events("content"), "doc").where("event = 'cite'")
+    numbers = passes.citation_numbers(cites, "doc")
+    return numbers.select("doc.c_custkey", F.col("doc.c_nationkey").cast("int").alias("times"), "key", "number")

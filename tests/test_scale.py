@@ -27,6 +27,7 @@ DEALT = [
     "layout_commands_dropped",
     "statistics_of_all_kinds",
     "citations_author_year",
+    "citation_numbers_of_documents",
 ]
 
 
