@@ -364,7 +364,7 @@ def figures_and_theorems(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\\newtheorem{claim}{Claim}\n\n\\begin{figure}[ht]\\centering\\includegraphics[width=1cm]{p", F.col("p_partkey"), ".png}\\includegraphics{q.png}\\caption{Part ", size,
         "}\\label{fig}\\end{figure}\nSee \\autoref{fig}.\n\n\\begin{claim}[of ", size, "]\\label{c}\nBody\n\nmore.\\end{claim}",
     )
-    return table(spark, sf_dir, "part").select("p_partkey", K.to_markdown(content).alias("markdown"))
+    return dealt(spark, sf_dir, "part").select("p_partkey", K.to_markdown(content).alias("markdown"))
 
 
 def _include_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

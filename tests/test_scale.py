@@ -28,6 +28,7 @@ DEALT = [
     "statistics_of_all_kinds",
     "citations_author_year",
     "citation_numbers_of_documents",
+    "figures_and_theorems",
 ]
 
 
