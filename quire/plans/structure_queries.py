@@ -107,7 +107,7 @@ SELECT p_partkey, '(P' || p_size || ', 1907)' || {_NN} || '## References' || {_N
 def biblatex_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package's option sets the style."""
     bib = tex("@book{k, author={A P", F.col("p_size"), "}, year=1907, title={X}}")
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.lit("\\usepackage[backend=biber,style=authoryear]{biblatex}\n\\addbibresource{r.bib}\n\n\\cite{k}").alias("content"), F.to_json(F.create_map(F.lit("r.bib"), bib)).alias("files_json"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", F.lit("\\usepackage[backend=biber,style=authoryear]{biblatex}\n\\addbibresource{r.bib}\n\n\\cite{k}").alias("content"), F.to_json(F.create_map(F.lit("r.bib"), bib)).alias("files_json"))
     return K.convert(docs).select("p_partkey", "markdown")
 
 

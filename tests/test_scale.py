@@ -29,6 +29,7 @@ DEALT = [
     "citations_author_year",
     "citation_numbers_of_documents",
     "figures_and_theorems",
+    "biblatex_author_year",
 ]
 
 
