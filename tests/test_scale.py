@@ -30,6 +30,7 @@ DEALT = [
     "citation_numbers_of_documents",
     "figures_and_theorems",
     "biblatex_author_year",
+    "math_macros",
 ]
 
 
