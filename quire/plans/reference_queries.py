@@ -241,7 +241,7 @@ def citations_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, 'c' || c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'article' ELSE 'book' END AS entry_type, 'T ' || c_custkey AS title, 'P & Q' AS publisher, CAST(1900 + c_custkey % 100 AS VARCHAR) AS year FROM customer
 """)
 def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").select("c_custkey", tex("@comment{x {y}} junk @string{a = {b}}\n", _customer_entry()[1]).alias("content"))
+    docs = dealt(spark, sf_dir, "customer").select("c_custkey", tex("@comment{x {y}} junk @string{a = {b}}\n", _customer_entry()[1]).alias("content"))
     rows = K.exploded(docs, K.bibtex_entries(F.col("content")), "c_custkey")
     return rows.select("c_custkey", "key", "entry_type", *(F.element_at("fields", F.lit(n)).alias(n) for n in ("title", "publisher", "year")))
 
@@ -250,7 +250,7 @@ def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names_and_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author fields and whole entries by column functions."""
     who, entry = _customer_entry()
-    docs = table(spark, sf_dir, "customer").select("c_custkey", who.alias("who"), entry.alias("content"))
+    docs = dealt(spark, sf_dir, "customer").select("c_custkey", who.alias("who"), entry.alias("content"))
     rows = K.exploded(docs, K.bibtex_entries(F.col("content")), "c_custkey", "who")
     return rows.select("c_custkey", C.short_names("who").alias("short"), C.author_list("who").alias("long"), C.full_citation("entry_type", "fields").alias("line"))
 
@@ -273,7 +273,7 @@ def bibliography_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bibliography(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nations cite their customers, those with debts twice over; all customers have entries."""
-    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", _customer_entry()[1].alias("content"))
+    people = dealt(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", _customer_entry()[1].alias("content"))
     entries = K.exploded(people, K.bibtex_entries(F.col("content")), "c_custkey", "c_nationkey").select("c_nationkey", F.col("c_custkey").alias("ord"), "key", "entry_type", "fields")
     cites = people.where("c_acctbal < 0").select("c_nationkey", F.col("c_custkey").alias("pos"), F.array(tex("c", F.col("c_custkey"))).alias("keys"))
     return cites, entries

@@ -69,7 +69,7 @@ SELECT p_partkey, 'Child ' || p_size || {_NN} || 'Last.' || {_NN} AS markdown, '
 """)
 def included_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file is read once: a second time, and one that isn't there, are skipped with a warning."""
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.lit("\\include{c}\n\\input{gone}\n\\include{c}\nLast.").alias("content"), F.to_json(F.create_map(F.lit("c.tex"), tex("Child ", F.col("p_size")))).alias("files_json"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", F.lit("\\include{c}\n\\input{gone}\n\\include{c}\nLast.").alias("content"), F.to_json(F.create_map(F.lit("c.tex"), tex("Child ", F.col("p_size")))).alias("files_json"))
     return K.convert(docs).select("p_partkey", "markdown", F.array_join("warnings", ";").alias("warning"))
 
 
@@ -166,7 +166,7 @@ SELECT p_partkey, b.* FROM part, (SELECT * FROM (VALUES (0, NULL, 0, 'section',
 """)
 def blocks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of blocks as rows that name their parents."""
-    docs = table(spark, sf_dir, "part").select("p_partkey", tex("\\section{S}\n\n\\begin{quote}q ", F.col("p_size"), "\\end{quote}\n\\begin{itemize}\\item i\\end{itemize}").alias("content"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", tex("\\section{S}\n\n\\begin{quote}q ", F.col("p_size"), "\\end{quote}\n\\begin{itemize}\\item i\\end{itemize}").alias("content"))
     return K.exploded(docs, K.blocks("content"), "p_partkey").select("p_partkey", "block_id", "parent_id", "depth", "kind", "level")
 
 
@@ -178,7 +178,7 @@ SELECT p_partkey, kind, text, n FROM (
 def inlines_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inlines below blocks, those of wrappers and citations included."""
     size = F.col("p_size")
-    docs = table(spark, sf_dir, "part").select("p_partkey", tex("\\textbf{size", size, "} $x_", size, "$ \\cite{a,b", size, "}").alias("content"))
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", tex("\\textbf{size", size, "} $x_", size, "$ \\cite{a,b", size, "}").alias("content"))
     rows = K.exploded(docs, K.inlines("content"), "p_partkey").where("kind IN ('strong', 'math') OR kind = 'cite' OR text LIKE 'size%'")
     return rows.groupBy("p_partkey", "kind", "text").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
@@ -204,7 +204,7 @@ UNION ALL SELECT p_partkey, 'warning: unknown command `\last` kept as plain text
 def warnings_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's messages as a report shows them: once each, with their number, in order of appearance."""
     source = tex("\\odd x ", F.repeat(F.lit("\\odd y "), (F.col("p_size") % 3).cast("int")), "\\last z")
-    docs = table(spark, sf_dir, "part").select("p_partkey", K.converted(source).alias("c")).select("p_partkey", "c.warnings")
+    docs = dealt(spark, sf_dir, "part").select("p_partkey", K.converted(source).alias("c")).select("p_partkey", "c.warnings")
     return api.warning_lines(docs, "p_partkey")
 
 

@@ -32,6 +32,22 @@ DEALT = [
     "biblatex_author_year",
     "math_macros",
     "inline_styles",
+    "quotes_and_dashes_converted",
+    "quote_abstract",
+    "code_blocks",
+    "listings",
+    "math_environments",
+    "frontmatter_and_title",
+    "warnings_by_message",
+    "run_totals",
+    "included_once",
+    "blocks_of_documents",
+    "inlines_of_documents",
+    "warnings_as_lines",
+    "bibtex_entries",
+    "names_and_citations",
+    "bibliography_numeric",
+    "bibliography_author_year",
 ]
 
 
