@@ -106,4 +106,4 @@ def test_gathered_documents_have_a_number_of_parts_that_stays(spark, sf_dir, nam
 
 
 def test_layout_commands_between_words():
-    assert convert("\\noindent{}a\\vspace*{1em} \\relax\\setlength{a} {b{c}}\\hfill{}b \\newcommand{\\hfill}{H}\\hfill") == "ab H\n\n"
+    assert convert("\\newcommand{\\hfill}{H}\n\n\\noindent{}a\\vspace*{1em} \\relax\\setlength{a} {b{c}}\\hfill{}b {} \\vspace{open") == "a Hb\n\n"
